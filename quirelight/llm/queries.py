@@ -3,9 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import lookalike, tokens
+from . import lookalike, splitting, tokens
+
+
+def sized_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``text_entries`` with the chunk size and overlap of their state; the six states join by their measured size."""
+    states = table(spark, sf_dir, "index_states").select("state_id", "chunk_size", "chunk_overlap")
+    return table(spark, sf_dir, "text_entries").select("entry_id", "state_id", "text").join(states, "state_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = splitting.split_plan(sized_entries(spark, sf_dir), "entry_id", "text", F.col("chunk_size"), F.col("chunk_overlap")).where("_oversized")
+    kinds = F.array(F.lit("oversized"), F.when(F.col("_longest_run") > F.col("chunk_size"), F.lit("unspaced")))
+    return plan.select("entry_id", F.explode(kinds).alias("case_kind")).where("case_kind is not null")
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_texts(sized_entries(spark, sf_dir), "entry_id", "text", F.col("chunk_size"), F.col("chunk_overlap"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,4 +33,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_look_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p8_found": p8_found}
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p8_found": p8_found}
