@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import lookalike, splitting, tokens
+from . import lookalike, mixing, splitting, tokens
 
 
 def sized_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +29,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_table(table(spark, sf_dir, "documents"), tokens.ranks_path())
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), tokens.ranks_path())[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), tokens.ranks_path())[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_look_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p8_found": p8_found}
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
