@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import lookalike, mixing, names, splitting, tokens
+from . import lookalike, mixing, names, ocr, splitting, tokens
 
 
 def sized_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,14 @@ def sized_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "text_entries").select("entry_id", "state_id", "text").join(states, "state_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.found(ocr.book_texts(table(spark, sf_dir, "books")))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.repaired(ocr.book_texts(table(spark, sf_dir, "books")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.variant_pairs(names.distinct_names(table(spark, sf_dir, "books")))
 
@@ -45,4 +53,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_look_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
