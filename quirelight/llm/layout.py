@@ -12,7 +12,7 @@ BLANK, BODY, HEADING, HEADER, PAGE_NUMBER = "blank", "body", "heading", "header"
 
 _ORNAMENT = r"[\s~\[\](){}<>|=_*·•.:–—‐‑-]*"
 _NUMBER_LINE = re.compile(rf"^({_ORNAMENT})(page|seite|pagina|página|p\.|s\.|pág\.)?(\s*)([0-9oOlIiSsBgz|]{{1,5}}|[ivxlcjIVXLCJ1]{{1,9}})(\s*(?:/|of|von|de|sur)\s*[0-9oOlISB]{{1,5}})?({_ORNAMENT})$", re.IGNORECASE)
-_HEADING = re.compile(r"^(?:(?:chapter|kapitel|chapitre|cap[ií]tulo|teil|part|partie|parte|book|buch|livre|libro)\s+[\dIVXLl]+\b|§\s*[\dl]+|[\dlI]{1,2}\.\s+\S|[IVX]{1,5}\.\s+\S)", re.IGNORECASE)
+_HEADING = re.compile(r"^(?:(?:chapter|kapitel|chapitre|cap[ií]tulo|teil|part|partie|parte|book|buch|livre|libro)\s+[\dIVXLl]+\b|§\s*[\dl]+|[\dlI]{1,2}\.\s+\S|(?:II|III|IV|VI|VII|VIII|IX|XI|XII)\.\s+\S)", re.IGNORECASE)
 _EDGE_NUMBER = re.compile(r"^(?:([\dlOoSIB]{1,4}|[ivxlc]{1,8})(?:\s{2,}|\s*[|·•–—]\s*))?(.*?)(?:(?:\s{2,}|\s*[|·•–—]\s*)([\dlOoSIB]{1,4}|[ivxlc]{1,8}))?$")
 _LIST_ITEM = re.compile(r"^[–•*·-]\s.*\.{3,}\s*\d+$|\.{4,}")
 _ENDS_TEXT = re.compile(r"[.!?;,»”“\"…]$")

@@ -25,13 +25,14 @@ from . import layout
 
 # What is printed and what the scanner reads, letter by letter; then accents that get lost.
 CONFUSIONS = """e c|c e|n ri|ri n|r i|i r|a o|o a|s 5|t f|f t|d cl|cl d|o 0|i l|l i|i j|j i|l 1|i 1|t l|l t|h li|li h|h b|b h|u ii|ii u|ü ii|m rn|rn m|g 9|q 9|b 6|v y|y v|w vv|vv w|é 6|ó 6
-n u|u n|b 8|s 8|g 6|z 2|g q|q g|m nn|m in|in m|ni m|o c|c o|o e|e o|ß b|ß 8|o 6|a e|e a|d ol|k lc|k l<|fi fl|h ii|n ii|u ll|f l|t i|i t|c (|l !|l ||y 7|a 4|e 3|t 7|d 0""".replace("\n", "|").replace("l ||", "").split("|")
+n u|u n|b 8|s 8|g 6|z 2|g q|q g|tt n|m nn|m in|in m|ni m|o c|c o|o e|e o|ß b|ß 8|o 6|a e|e a|d ol|k lc|k l<|fi fl|h ii|n ii|u ll|f l|t i|i t|c (|l !|l ||y 7|a 4|e 3|t 7|d 0""".replace("\n", "|").replace("l ||", "").split("|")
 ACCENTS = "ä a|ö o|ü u|é e|è e|ê e|à a|á a|â a|í i|ó o|ô o|ú u|û u|ñ n|ø o|ç c|ß s".split("|")
 _PAIRS: list[tuple[str, str, float]] = [(*p.split(" "), 0.3) for p in CONFUSIONS if p.count(" ") == 1] + [(*p.split(" "), 0.4) for p in ACCENTS]
 #: Words longer than this are no words.
 MAX_WORD = 40
-#: A repair must be so many times as frequent as the word it replaces; a target must occur so often.
-RATIO, LEAST = 8, 4
+#: A target must occur LEAST times and RATIO times as often as the word it replaces, and that word no more often than scanners
+#: err: SLACK times, and once in every PER_ERROR of the target.
+RATIO, LEAST, SLACK, PER_ERROR = 8, 4, 3, 250
 #: By how many times the bigrams must speak for the other word where both words are frequent.
 CONTEXT_RATIO = 20
 
@@ -90,6 +91,8 @@ def scan_text(text: str, known: list[str]) -> tuple[list[tuple[int, str]], list[
             if following and _FIRST.match(lines[flow[n + 1]]) and found and found[-1][0] == m.group(1):
                 cut = (i + 1, flow[n + 1] + 1, m.group(1), following[0][0], m.group(2), found[-2][0].casefold() if len(found) > 1 else "", following[1][0].casefold() if len(following) > 1 else "")
                 breaks.append(cut)
+        elif n + 1 == len(flow) and kinds[i] == layout.BODY and (m := _BREAK.search(line)):  # the text ends inside a word
+            breaks.append((i + 1, 0, m.group(1), "", m.group(2), "", ""))
         text_words = [w for w, _, _ in found]
         for k, (w, _, _) in enumerate(found):
             if carried and k == 0 or cut and k == len(found) - 1:
@@ -150,14 +153,14 @@ def candidates(lex: DataFrame, whole: DataFrame) -> DataFrame:
     Either the printed word is much more frequent, or both are frequent and only the bigrams can tell.
     """
     joined = whole.select("w").distinct().join(lex, "w", "left_anti").select("w", F.lit(0).cast("bigint").alias("n"))
-    words = lex.unionByName(joined).where(F.length("w").between(2, MAX_WORD) & F.col("w").rlike(r"\p{L}"))
+    words = lex.unionByName(joined).where(F.length("w").between(2, MAX_WORD) & F.col("w").rlike(r"\p{L}") & ~F.col("w").rlike("^[ivx]+$"))
     index = words.mapInPandas(_deletes, "w string, n bigint, rest string")
     left = index.select("rest", "w", "n")
     right = index.where(f"n >= {LEAST}").where(F.col("w").rlike(r"^\D+$")).select("rest", F.col("w").alias("v"), F.col("n").alias("nv"))
     pairs = left.join(right, "rest").where((F.col("w") != F.col("v")) & (F.abs(F.length("w") - F.length("v")) <= 2) & (F.col("nv") * 50 >= F.col("n")))
     pairs = pairs.select("w", "n", "v", "nv").distinct()
     found = pairs.mapInPandas(_weigh, "w string, n bigint, v string, nv bigint, cost double")
-    return stored(found.withColumn("rare", F.col("nv") >= RATIO * F.col("n")).where("rare or cost <= 0.3"), "candidates")
+    return stored(found.withColumn("rare", (F.col("nv") >= RATIO * F.col("n")) & (F.col("n") <= SLACK + F.col("nv") / PER_ERROR)).where("rare or cost <= 0.3"), "candidates")
 
 
 def repairs(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -187,7 +190,7 @@ def repairs(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     as_one = F.greatest(F.coalesce("n_w", F.lit(0)), F.coalesce("nv_w", F.lit(0)))
     as_two = F.greatest(F.coalesce("nc", F.lit(0)), F.coalesce("np", F.lit(0)))
     both_known = (F.coalesce("n_l", F.lit(0)) >= LEAST) & (F.coalesce("n_r", F.lit(0)) >= LEAST)
-    divided = F.when(as_one > as_two, True).when(as_two > 0, False).when(F.col("capital"), False).when(F.col("soft"), True).otherwise(~both_known)
+    divided = F.when(F.col("r") == "", F.col("soft") | (F.coalesce("n_l", F.lit(0)) < LEAST)).when(as_one > as_two, True).when(as_two > 0, False).when(F.col("capital"), False).when(F.col("soft"), True).otherwise(~both_known)
     d = stored(d.select("l", "r", "capital", "soft", "w", divided.alias("divided")), "decisions")
     b = breaks.withColumns({"l": F.lower("a"), "r": F.lower("b"), "capital": F.col("b").rlike(r"^\p{Lu}"), "soft": F.col("sign").isin("¬", "\xad")})
     b = b.join(d, ["l", "r", "capital", "soft"])
@@ -195,6 +198,7 @@ def repairs(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # all occurrences of words with a candidate: whole ones, joined ones, and the halves of compounds
     occ = scanned.where("what = 'word'").select("book_id", "line_no", F.lit(0).alias("line2"), F.lit(0).alias("at"), F.lower("a").alias("w"), F.col("before").alias("p"), F.col("after").alias("q"))
+    b = b.where("b <> ''")
     one = b.where("divided").select("book_id", "line_no", "line2", F.length("a").alias("at"), "w", F.col("before").alias("p"), F.col("after").alias("q"))
     two = b.where("not divided").select("book_id", F.explode(F.array(F.struct("line_no", F.col("l").alias("w"), F.col("before").alias("p"), F.col("r").alias("q")), F.struct(F.col("line2").alias("line_no"), F.col("r").alias("w"), F.col("l").alias("p"), F.col("after").alias("q")))).alias("h"))
     two = two.select("book_id", F.col("h.line_no").alias("line_no"), F.lit(0).alias("line2"), F.lit(0).alias("at"), F.col("h.w").alias("w"), F.col("h.p").alias("p"), F.col("h.q").alias("q"))
@@ -211,7 +215,7 @@ def repairs(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     tried = spots.join(cand, "w")
     score = lambda x, col, tag: x.join(before.select(F.col("v").alias(col), "p", F.col("c").alias(f"{tag}0")), [col, "p"], "left").join(after.select(F.col("v").alias(col), "q", F.col("c").alias(f"{tag}1")), [col, "q"], "left")
     tried = score(score(tried, "v", "v"), "w", "w").fillna(0, ["v0", "v1", "w0", "w1"])
-    ours, theirs = F.greatest(F.col("w0") + F.col("w1") - 2 * F.col("k"), F.lit(0)), F.col("v0") + F.col("v1")
+    ours, theirs = F.greatest(F.col("w0") + F.col("w1") - 2, F.lit(0)), F.col("v0") + F.col("v1")
     speaks = (F.col("v0") > 0) & (F.col("v1") > 0) & (theirs >= CONTEXT_RATIO * (ours + 1))
     kept = tried.where(F.col("rare") | speaks)
     rank = F.struct(F.log1p(theirs.cast("double")) - 6 * F.col("cost"), "nv", "v")
