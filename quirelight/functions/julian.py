@@ -128,5 +128,6 @@ def event_date_text(jd_start: Column, jd_end: Column) -> Column:
 
 
 def timestamp_to_jd(ts: Column) -> Column:
-    """Julian day of a timestamp, with the time of day as a fraction."""
-    return F.unix_micros(ts) / F.lit(86_400_000_000.0) + F.lit(EPOCH_JD)
+    """Julian day of a timestamp with or without zone (then by the session's zone), with the time of day as a fraction."""
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), ts).cast("double")
+    return F.unix_date(F.to_date(ts)) + seconds / F.lit(86_400.0) + F.lit(EPOCH_JD)

@@ -155,3 +155,32 @@ def cached_texts(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFra
     """(hits with text, files still to read) of (desc, file_size) against a cache (desc, file_size, text)."""
     hits = files.join(cache.select("desc", "file_size", "text"), ["desc", "file_size"])
     return hits, files.join(cache.select("desc", "file_size"), ["desc", "file_size"], "left_anti")
+
+
+def top_k_per_query(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(query_id, vec_id, cosine, rank): the k best vectors for each query vector, the query itself left out; ties by vec_id.
+
+    Queries and vectors (vec_id, embedding) come in blocks of about ``block`` rows; every block of the one meets every block of the other as one
+    matrix product that keeps k rows a query, so what moves on is k rows per query and block, never all pairs.
+    """
+    n_q, n_v = queries.count(), vectors.count()
+    bq, bv = max(1, -(-n_q // block)), max(1, -(-n_v // block))
+    q = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(bq)).alias("qb"), F.lit(True).alias("q"), "vec_id", "embedding").withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(bv - 1))))
+    v = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(bv)).cast("int").alias("vb"), F.lit(False).alias("q"), "vec_id", "embedding").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
+    both = q.select("qb", "vb", "q", "vec_id", "embedding").unionByName(v.select(F.col("qb").cast("bigint"), "vb", "q", "vec_id", "embedding"))
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        qs, vs = pdf[pdf.q].reset_index(drop=True), pdf[~pdf.q].reset_index(drop=True)
+        if not len(qs) or not len(vs):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
+        ids = vs.vec_id.to_numpy()
+        s = np.stack(qs.embedding.to_numpy()).astype(np.float64) @ np.stack(vs.embedding.to_numpy()).astype(np.float64).T
+        out = []
+        for i, query in enumerate(qs.vec_id):
+            best = np.lexsort((ids, -np.round(s[i], 9)))[: k + 1]
+            out += [(query, ids[j], s[i, j]) for j in best if ids[j] != query]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "cosine"])
+
+    near = both.groupBy("qb", "vb").applyInPandas(product, "query_id bigint, vec_id bigint, cosine double")
+    w = Window.partitionBy("query_id").orderBy(F.round("cosine", 9).desc(), "vec_id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.julian import event_date_text
 from ..functions.text import deep_link, html_to_quote, note_name, strip, tag_name
+from ..session import stored
 
 
 def padded(c: Column, width: Column | int) -> Column:
@@ -74,7 +75,7 @@ def ascii_lines(events: DataFrame, width: int, words: list[str] | None = None) -
 
     The widest date is one number; widths below it plus 27 are an error.
     """
-    x = events.withColumns({"_date": event_date_text(F.col("jd_start"), F.col("jd_end")), "_text": event_text(F.col("eventdata"))})
+    x = stored(events.withColumns({"_date": event_date_text(F.col("jd_start"), F.col("jd_end")), "_text": event_text(F.col("eventdata"))}), "texts")
     widest = x.agg(F.max(F.length("_date")).alias("w")).first().w or 0
     if widest + 27 > width:
         raise ValueError(f"a width of {widest + 27} is needed")

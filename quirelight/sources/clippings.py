@@ -58,7 +58,7 @@ def blocks(files: DataFrame, text: str = "text") -> DataFrame:
 
 
 def parse(clips: DataFrame, zone: str = "UTC") -> DataFrame:
-    """Blocks with title, author, type, location, page, date (UTC), text and error.
+    """Blocks with title, author, type, location, page, date (ISO, in UTC), text and error.
 
     ``zone`` is the device's; a block of an unknown language, or whose info line has another number of parts than two or three, has
     an error and null fields instead of ending the file.
@@ -92,6 +92,7 @@ def parse(clips: DataFrame, zone: str = "UTC") -> DataFrame:
     local = F.try_to_timestamp(F.concat_ws("-", g(3), F.lpad(month.cast("string"), 2, "0"), F.concat_ws(" ", F.lpad(g(1), 2, "0"), F.concat_ws(":", g(4), g(5), g(6)))), F.lit("yyyy-MM-dd HH:mm:ss"))
     # the session's zone reads and the device's zone shifts, so that the result depends on the device alone
     utc = F.to_utc_timestamp(F.from_utc_timestamp(F.to_utc_timestamp(local, F.current_timezone()), F.current_timezone()), zone)
+    utc = F.date_format(F.to_utc_timestamp(utc, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+0000'")
     types = F.create_map(*chain.from_iterable((F.lit(a), F.lit(b)) for w in LOCALES.values() for a, b in w["types"].items()))
     open_at = F.length("_head") - F.locate("(", F.reverse("_head"))
     named = (F.contains("_head", F.lit("("))) & (open_at > 0)
