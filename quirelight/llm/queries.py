@@ -54,3 +54,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+
+ORACLES = {
+    "p5_found": """
+with t as (select entry_id, text, chunk_size from text_entries join index_states using (state_id) where text is not null)
+select entry_id, 'oversized' as case_kind from t where length(text) > chunk_size union all
+select entry_id, 'unspaced' from t where list_max([length(x) for x in regexp_split_to_array(text, '[\\s\\x{85}\\p{Z}\\x{0b}\\x{1c}-\\x{1f}]')]) > chunk_size""",
+}
