@@ -59,7 +59,13 @@ def known_zones(spark: SparkSession) -> list[str]:
 
 
 def with_instant(df: DataFrame, raw: str = "raw", zone: str = "zone", locale: str = "locale", out: str = "epoch_us") -> DataFrame:
-    """Parse ``raw`` of every row into microseconds since 1970-01-01 UTC, further digits cut."""
+    """Parse ``raw`` of every row into microseconds since 1970-01-01 UTC, further digits cut.
+
+    All other columns pass through under any name; a column named ``out`` is replaced.
+    """
+    kept = [c for c in df.columns if c != out]
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(raw).alias("_raw"), F.col(zone).alias("_zone"), F.col(locale).alias("_locale"))
+    raw, zone, locale = "_raw", "_zone", "_locale"
     month_of = F.create_map(*chain.from_iterable((F.lit(w), F.lit(m)) for m, names in MONTHS.items() for w in names.split()))
     offset_of = F.create_map(*chain.from_iterable((F.lit(a), F.lit(m)) for a, m in ABBREVIATIONS.items()))
     zones = F.array(*map(F.lit, known_zones(df.sparkSession)))
@@ -132,7 +138,7 @@ def with_instant(df: DataFrame, raw: str = "raw", zone: str = "zone", locale: st
         F.col("_s").rlike(r"^\d{18,19}$"), F.floor(F.col("_s").try_cast("bigint") / F.lit(1000))
     )
     found = F.when(since.isNotNull(), since).when(F.col("_t2") == "", days * _DAY).otherwise(clocked)
-    return x.select(*[F.col(c) for c in df.columns], found.cast("bigint").alias(out))
+    return x.select("_row.*", found.cast("bigint").alias(out))
 
 
 def dictionary(rows: DataFrame, path: str) -> DataFrame:
@@ -153,11 +159,13 @@ def dictionary(rows: DataFrame, path: str) -> DataFrame:
 
 
 def normalise(rows: DataFrame, path: str) -> DataFrame:
-    """``rows`` (raw, zone, locale and any others) with ``epoch_us``, joined from the dictionary kept at ``path``.
+    """``rows`` (raw, zone, locale and any others, which pass through; an ``epoch_us`` is replaced) with ``epoch_us``, joined from the dictionary kept at ``path``.
 
     The join is an ordinary equi-join: small dictionaries are broadcast by their measured size, larger ones meet the rows
     in a sort-merge join whose hot texts adaptive execution splits.
     """
-    d = dictionary(rows, path).select(F.col("raw").alias("_raw"), F.col("zone").alias("_zone"), F.col("locale").alias("_locale"), "epoch_us")
-    same = F.col("raw").eqNullSafe(F.col("_raw")) & F.col("zone").eqNullSafe(F.col("_zone")) & F.col("locale").eqNullSafe(F.col("_locale"))
-    return rows.join(d, same, "left").drop("_raw", "_zone", "_locale")
+    d = dictionary(rows, path)
+    kept = [c for c in rows.columns if c != "epoch_us"]
+    r = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col("raw").alias("_raw"), F.col("zone").alias("_zone"), F.col("locale").alias("_locale"))
+    same = F.col("_raw").eqNullSafe(F.col("raw")) & F.col("_zone").eqNullSafe(F.col("zone")) & F.col("_locale").eqNullSafe(F.col("locale"))
+    return r.join(d, same, "left").select("_row.*", "epoch_us")
