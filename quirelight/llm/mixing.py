@@ -59,7 +59,7 @@ def blocks(docs: DataFrame, totals: DataFrame) -> DataFrame:
 def weights(targets: DataFrame, totals: DataFrame, corpus_tokens: Column) -> DataFrame:
     """Targets with the tokens wanted, blocks, and the number of slots they ask for."""
     size = F.coalesce("total_ratio", F.lit(0.0)) * corpus_tokens
-    x = targets.join(totals, "source", "left").withColumn("wanted", F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)) * size)
+    x = targets.select("mix_name", "source", "target_share", "max_repeats", "total_ratio").join(totals, "source", "left").withColumn("wanted", F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)) * size)
     return x.withColumn("asked", F.when(F.col("n_blocks").isNotNull(), F.col("wanted") / F.col("block_size")).otherwise(0.0))
 
 

@@ -267,7 +267,7 @@ _PARSED = "field_name string, name string, n bigint, kind string, subject string
 
 def forms(names: DataFrame) -> DataFrame:
     """Parsed distinct spellings (field_name, name, n) with the order of uncertain names set by how their words are used elsewhere."""
-    parsed = stored(names.where(F.col("name").rlike(r"(?U)\w")).mapInPandas(_parse, _PARSED), "parsed")
+    parsed = stored(names.select("field_name", "name", "n").where(F.col("name").rlike(r"(?U)\w")).mapInPandas(_parse, _PARSED), "parsed")
     people = parsed.where("field_name <> 'publisher'")
     votes = people.select(F.explode(F.concat(F.transform("given", lambda w: F.struct(w.alias("w"), F.lit(1).alias("g"))), F.transform("family", lambda w: F.struct(w.alias("w"), F.lit(0).alias("g"))))).alias("v"))
     votes = votes.groupBy("v.w").agg(((F.sum("v.g") + 0.5) / (F.count(F.lit(1)) + 1.0)).alias("p"))

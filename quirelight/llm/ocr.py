@@ -120,7 +120,7 @@ def scan(texts: DataFrame) -> DataFrame:
     """Lines, words and breaks of (book_id, text, known), stored once; texts are spread evenly, as each costs CPU."""
     spark = texts.sparkSession
     n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return stored(texts.where(F.col("text").rlike(r"(?U)\S")).repartition(n, "book_id").mapInPandas(_scan, _SCANNED), "scan")
+    return stored(texts.select("book_id", "text", "known").where(F.col("text").rlike(r"(?U)\S")).repartition(n, "book_id").mapInPandas(_scan, _SCANNED), "scan")
 
 
 def _deletes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,6 +305,7 @@ def assemble(text: str, known: list[str], fixes: list[tuple[int, str, str]], joi
 
 def repaired(texts: DataFrame) -> DataFrame:
     """(book_id, text): the repaired paragraphs of every text; a text's repairs, bounded by its own words, meet it once."""
+    texts = texts.select("book_id", "text", "known")
     scanned = scan(texts)
     fixes, joined = repairs(scanned)
     f = fixes.distinct().groupBy("book_id").agg(F.collect_list(F.struct("line_no", "w", "v")).alias("fixes"))

@@ -191,28 +191,31 @@ def boundary_pieces(items: DataFrame, range_chars: int = RANGE_CHARS) -> DataFra
 
 
 def split_plan(df: DataFrame, key: str, text: str, size: Column, overlap: Column, range_chars: int = RANGE_CHARS) -> DataFrame:
-    """One row per item with text: all of ``df``'s columns, ``_pieces`` (array of begin, end) and ``_longest_run``.
+    """One row per item with text: all of ``df``'s columns, ``_pieces`` (array of begin, end), ``_longest_run`` and ``_oversized``.
+
+    Other columns pass through under any name; columns of those three names are replaced.
 
     ``key`` names a unique column; it is used only to bring the pieces of items of many ranges back to their texts.
     """
-    n, s = F.length(F.col(text)), size.cast("int")
-    x = df.withColumns({"_n": n, "_size": s, "_overlap": overlap.cast("int")}).where((F.col("_n") > 0) & (F.col("_size") > 0))
+    out = ("_pieces", "_longest_run", "_oversized")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in out]).alias("_row")
+    x = df.select(row, F.col(key).alias("_id"), F.col(text).alias("_t"), F.length(F.col(text)).alias("_n"), size.cast("int").alias("_size"), overlap.cast("int").alias("_overlap")).where((F.col("_n") > 0) & (F.col("_size") > 0))
     pair = lambda a, b: F.struct(a.cast("bigint").alias("begin"), b.cast("bigint").alias("end"))
-    cols = [F.col(c) for c in df.columns]
-    small = x.where("_n <= _size").select(*cols, F.array(pair(F.lit(0), F.col("_n"))).alias("_pieces"), F.lit(0).cast("bigint").alias("_longest_run"), F.lit(False).alias("_oversized"))
-    big = x.where(f"_n > _size and _n <= {range_chars}").withColumn("_c", _row_cuts()(F.col(text), F.col("_size"), F.col("_overlap")))
     zipped = lambda a, b: F.zip_with(a, b, lambda p, q: pair(p, q))
-    big = big.select(*cols, zipped(F.col("_c.starts"), F.col("_c.ends")).alias("_pieces"), F.col("_c.longest_run").cast("bigint").alias("_longest_run"), F.lit(True).alias("_oversized"))
-    giant = x.where(f"_n > _size and _n > {range_chars}").withColumn("_key", F.unhex(F.md5(F.to_json(F.struct(F.col(key).alias("k"))))))
-    parts = boundary_pieces(giant.select(F.col("_key").alias("key"), F.col(text).alias("text"), F.col("_size").alias("size"), F.col("_overlap").alias("overlap")), range_chars)
-    folded = parts.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list(zipped(F.col("starts"), F.col("ends"))))).alias("_pieces"), F.max("longest_run").alias("_longest_run"))
-    giant = giant.join(folded.withColumnRenamed("key", "_key"), "_key").select(*cols, "_pieces", "_longest_run", F.lit(True).alias("_oversized"))
+    done = lambda pieces, longest, over: ["_row.*", pieces.alias(out[0]), longest.cast("bigint").alias(out[1]), F.lit(over).alias(out[2])]
+    small = x.where("_n <= _size").select(*done(F.array(pair(F.lit(0), F.col("_n"))), F.lit(0), False))
+    big = x.where(f"_n > _size and _n <= {range_chars}").withColumn("_c", _row_cuts()(F.col("_t"), F.col("_size"), F.col("_overlap")))
+    big = big.select(*done(zipped(F.col("_c.starts"), F.col("_c.ends")), F.col("_c.longest_run"), True))
+    giant = x.where(f"_n > _size and _n > {range_chars}").withColumn("_key", F.unhex(F.md5(F.to_json(F.struct(F.col("_id").alias("k"))))))
+    parts = boundary_pieces(giant.select(F.col("_key").alias("key"), F.col("_t").alias("text"), F.col("_size").alias("size"), F.col("_overlap").alias("overlap")), range_chars)
+    folded = parts.groupBy(F.col("key").alias("_key")).agg(F.array_sort(F.flatten(F.collect_list(zipped(F.col("starts"), F.col("ends"))))).alias("_p"), F.max("longest_run").alias("_l"))
+    giant = giant.join(folded, "_key").select(*done(F.col("_p"), F.col("_l"), True))
     return small.unionByName(big).unionByName(giant)
 
 
 def split_texts(df: DataFrame, key: str, text: str, size: Column, overlap: Column, range_chars: int = RANGE_CHARS) -> DataFrame:
     """(key, piece_no, begin, end, piece): the pieces of every item, cut out by offset."""
-    x = split_plan(df.select(key, text, size.alias("_cs"), overlap.alias("_co")), key, text, F.col("_cs"), F.col("_co"), range_chars)
+    x = split_plan(df.select(F.col(key), F.col(text), size.alias("_cs"), overlap.alias("_co")), key, text, F.col("_cs"), F.col("_co"), range_chars)
     each = x.select(key, text, F.posexplode("_pieces").alias("piece_no", "p"))
     return each.select(key, "piece_no", F.col("p.begin").alias("begin"), F.col("p.end").alias("end"), F.substring(F.col(text), (F.col("p.begin") + 1).cast("int"), (F.col("p.end") - F.col("p.begin")).cast("int")).alias("piece"))
 
