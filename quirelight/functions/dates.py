@@ -81,14 +81,20 @@ def with_alternative(c: Column) -> Column:
 
 
 def clean_date(c: Column, default_scale: str | None = None, normalise: bool = True) -> Column:
-    """All cleaning steps on each end of a range; a scale missing on the left comes from the right; remarks are joined."""
+    """All cleaning steps on each end of a range; a scale missing on the left comes from the right; remarks are joined.
+
+    Dates written with hyphens alone stay as they are.
+    """
 
     def end(x: Column) -> Column:
         return let(date_remarks(x), lambda q: let(century(q["date"]), lambda z: let(with_alternative(z["date"]), lambda w: pair(w["date"], F.array_join(F.filter(F.array(q["remark"], z["remark"], w["remark"]), lambda r: r != ""), ", ")))))
 
+    def is_exact(d: Column) -> Column:
+        n = F.size(F.split(d, "-"))
+        return (n == 3) | ((n == 2) & ~F.contains(d, F.lit(" - ")) & d.rlike("^[0-9]*-[0-9]*$"))
+
     def whole(d: Column) -> Column:
-        hyphens = F.split(d, "-")
-        exact = (F.size(hyphens) == 3) | ((F.size(hyphens) == 2) & ~F.contains(d, F.lit(" - ")) & d.rlike("^[0-9]*-[0-9]*$"))
+        hyphens, exact = F.split(d, "-"), is_exact(d)
         if default_scale is not None:
             scaled = F.array_join(F.transform(hyphens, lambda x: F.concat(strip(x), F.lit(f" {default_scale}"))), " - ")
             return F.when(exact, pair(d, F.lit(""))).otherwise(pair(scaled, F.lit("")))
@@ -105,7 +111,7 @@ def clean_date(c: Column, default_scale: str | None = None, normalise: bool = Tr
     out = let(pre_clean(c), whole)
     if not normalise:
         return out
-    return let(out, lambda o: let(range_to_jd(o["date"]), lambda j: F.when(j.isNotNull(), pair(event_date_text(j["jd_start"], j["jd_end"]), o["remark"])).otherwise(o)))
+    return let(out, lambda o: let(range_to_jd(o["date"]), lambda j: F.when(j.isNotNull() & ~is_exact(o["date"]), pair(event_date_text(j["jd_start"], j["jd_end"]), o["remark"])).otherwise(o)))
 
 
 def merge_date(year: Column, rest: Column) -> Column:

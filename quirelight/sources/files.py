@@ -172,7 +172,7 @@ def scan_counts(scanned: DataFrame) -> DataFrame:
 def read_corpus(spark: SparkSession, root: str, library: str, formats: tuple[str, ...] = ("txt", "md")) -> DataFrame:
     """(desc, filename, text) of a folder's texts, desc being ``{library}`` and the path below the folder; PDF needs a PDF library."""
     plain = [f for f in formats if f in ("txt", "md", "py")]
-    x = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(plain) + "}").text(root)
+    x = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(plain) + "}").text(root, wholetext=True)
     x = x.select(F.col("_metadata.file_path").alias("_p"), F.col("value").alias("text"))
     if "pdf" in formats:
         p = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(root)

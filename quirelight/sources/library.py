@@ -24,7 +24,7 @@ def folder(path: Column) -> Column:
 
 def read_metadata(spark: SparkSession, root: str) -> DataFrame:
     """(path, opf): the metadata files below ``root`` outside trash and notes folders."""
-    x = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.opf").text(root)
+    x = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.opf").text(root, wholetext=True)
     x = _paths(x.select(F.col("value").alias("opf"), F.col("_metadata.file_path").alias("_p")), root, "_p")
     for s in SKIPPED:
         x = x.where(~F.contains("path", F.lit(s)))
@@ -78,7 +78,7 @@ def read_documents(spark: SparkSession, root: str, formats: tuple[str, ...] = FO
 
 def read_text_siblings(spark: SparkSession, root: str) -> DataFrame:
     """(folder, doc_text): the text beside a book; of several the last name counts."""
-    x = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root)
+    x = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
     x = _paths(x.select("value", F.col("_metadata.file_path").alias("_p")), root, "_p")
     return x.groupBy(folder(F.col("path")).alias("folder")).agg(F.max_by("value", "path").alias("doc_text"))
 

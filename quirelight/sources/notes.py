@@ -20,7 +20,7 @@ TABLES = "array<struct<columns:array<string>,rows:array<array<string>>,metadata:
 
 def read_notes(spark: SparkSession, root: str, skip: tuple[str, ...] = SKIPPED_DIRS) -> DataFrame:
     """(path, text, modified) of all ``*.md`` files below ``root`` outside the skipped folders; path is relative to ``root``."""
-    x = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    x = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     x = x.select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("_p"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
     base = root.removeprefix("file://").rstrip("/") + "/"
     x = x.withColumn("path", F.substring("_p", F.locate(base, F.col("_p")) + len(base), F.length("_p")))
