@@ -16,7 +16,7 @@ QUALIFIERS = (
 ORDINALS = ("st", "nd", "rd", "th")
 MONTHS = "january february march april may june july august september october november december".split()
 _CLEANING = (
-    ("–", " - "), ("—", "-"), (" ", " "), (" ", " "), (" to ", " - "), (",", ""), ("  ", " "),
+    ("–", " - "), ("—", "-"), ("\xa0", " "), ("\u2009", " "), (" to ", " - "), (",", ""), ("  ", " "),
     ("AD", ""), ("BCE", "BC"), ("  ", " "), (" mya", " ma bp"),
 )
 ERAS = (("B.C.", "BC"), ("A.D.", "AD"), ("3rd Millennium BC", "3000 BC - 2001 BC"))

@@ -28,7 +28,7 @@ LOCALES = {
 def read_clippings(spark: SparkSession, root: str) -> DataFrame:
     """(path, text) of all ``*.txt`` files below ``root``, byte-order marks removed."""
     x = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
-    return x.select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit("﻿"), F.lit("")).alias("text"))
+    return x.select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit("\ufeff"), F.lit("")).alias("text"))
 
 
 def locale_of(block: Column) -> Column:
