@@ -22,7 +22,7 @@ _FOLDS = (("rn", "m"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("ii", "u"), ("ri"
 
 
 def _strip(line: str) -> str:
-    return line.strip(" \t\r\f\v\xa0 　﻿")
+    return line.strip(" \t\r\f\v\xa0 \u3000\ufeff")
 
 
 def plain(s: str) -> str:

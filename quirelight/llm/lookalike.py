@@ -31,8 +31,8 @@ LOOKALIKES = {
 _PLAIN_TAGS = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<small>"}
 #: Of the compatibility characters only those that are drawn as their parts side by side.
 _DRAWN_AS_PARTS = ("LIGATURE", "ROMAN NUMERAL", "DIGRAPH", "LETTER DZ", "LETTER LJ", "LETTER NJ")
-_LINE_BREAKS = "\x0b\x0c\x85  "
-_JOINER = "‍"
+_LINE_BREAKS = "\x0b\x0c\x85\u2028\u2029"
+_JOINER = "\u200d"
 
 
 def _ignorable(ch: str) -> bool:

@@ -39,7 +39,7 @@ CONTEXT_RATIO = 20
 _TOKEN = re.compile(r"[^\W_]+(?:[’'](?=[^\W\d_]))?")
 _BREAK = re.compile(r"([^\W_]+)([-‐‑¬\xad])$")
 _FIRST = re.compile(r"^\W*?([^\W_]+)")
-_SOFT = "\xad​‌‍⁠﻿"
+_SOFT = "\xad\u200b\u200c\u200d\u2060\ufeff"
 _CLEAN = str.maketrans({ch: None for ch in _SOFT})
 
 

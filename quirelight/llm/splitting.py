@@ -31,7 +31,7 @@ RANGE_BYTES = 4 << 20
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, BLANK, SEPARATOR, UNSAFE = 6, 5, 4, 3, 2, 1, -1
 _PLACE = regex.compile(r"(?<=\s)(?=\S|\Z)|(?<=[。！？])(?=[^\s。！？」』）])|(?<=[、，；：])(?=\S)|(?<=[\w\p{P}\p{S}][-/?&=_.,;:+])(?=\w)")
-_UNSAFE = regex.compile(r"(?=[\p{M}‍\U0001F3FB-\U0001F3FF])|(?<=‍)|(?<=\r)(?=\n)|(?<=[\U0001F1E6-\U0001F1FF])(?=[\U0001F1E6-\U0001F1FF])")
+_UNSAFE = regex.compile(r"(?=[\p{M}\u200d\U0001F3FB-\U0001F3FF])|(?<=\u200d)|(?<=\r)(?=\n)|(?<=[\U0001F1E6-\U0001F1FF])(?=[\U0001F1E6-\U0001F1FF])")
 _SPACES = regex.compile(r"\s")
 _CLOSERS = "\"'”’»)]}*_"
 
@@ -43,7 +43,7 @@ def _level(text: str, pos: int, first: int) -> int:
     if len(body) == len(before):
         return SENTENCE if before[-1] in "。！？" else CLAUSE if before[-1] in "、，；：" else SEPARATOR
     gap = before[len(body) :]
-    lines = gap.count("\n") or gap.count("\r") or gap.count(" ")
+    lines = gap.count("\n") or gap.count("\r") or gap.count("\u2028")
     if lines:
         return PARAGRAPH if lines > 1 else LINE
     body = body.rstrip(_CLOSERS)
