@@ -623,3 +623,34 @@ def wrapped_events(spark, d):
     """Events as plain text wrapped to a width."""
     u = table(spark, d, "orders").withColumns({"jd_start": julian.timestamp_to_jd(F.date_trunc("day", "o_orderdate")), "jd_end": F.lit(None).cast("double"), "eventdata": F.create_map(F.lit("priority"), F.repeat(F.concat(F.col("o_orderpriority"), F.lit(" ")), 4))})
     return render.ascii_lines(u, 60, ["urgent"]).select("o_orderkey", "line_no", "line")
+
+
+# ---- pages and streams
+
+
+@query()
+def page_timeline(spark, d):
+    """The dated tables of the documents, read as the tables of a page, in order of time."""
+    from . import pages
+
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("path"), notes.front_matter(F.col("text"))["body"].alias("body"))
+    t = x.select("path", F.posexplode(notes.tables(F.col("body"))).alias("table_no", "t")).where(F.get("t.columns", F.lit(0)) == "Date")
+    rows = t.select(F.col("path").alias("table_idx"), F.posexplode("t.rows").alias("row_idx", "cells"))
+    return pages.build(rows, pages.Page(tables=((0, 2**31 - 1),), order="time")).select("pos", "date", "remark", "event", "jd_start", "jd_end")
+
+
+@query("select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n from events group by all")
+def stream_event_windows(spark, d):
+    """Daily counts by kind, as a stream over the table's files."""
+    from ..streaming import events
+
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet" if not _is_folder(spark, f"{d}/events.parquet") else "*.parquet").parquet(d if not _is_folder(spark, f"{d}/events.parquet") else f"{d}/events.parquet")
+    stream = stream.withColumn("at", F.col("ts").cast("timestamp"))
+    out = events.run_once(events.windowed_counts(stream, "at", ["event_type"]), ["start", "event_type"])
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
