@@ -48,6 +48,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     It cuts the lineage like ``checkpoint()``, survives lost executors, and unlike it keeps columnar files, so
     that later readers prune columns and see true sizes when choosing a join.
     """
-    path = f"{shared_dir(df.sparkSession)}/quirelight/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quirelight/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    try:  # the table lasts as long as the application
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    except AttributeError:
+        pass  # a remote session has no JVM handle
+    return spark.read.schema(df.schema).parquet(path)
