@@ -141,7 +141,7 @@ _PIECES = "key binary, starts array<bigint>, ends array<bigint>, longest_run big
 def _row_cuts() -> Callable[..., Column]:
     @F.pandas_udf(_CUTS)
     def each(texts: pd.Series, sizes: pd.Series, overlaps: pd.Series) -> pd.DataFrame:
-        got = [cuts(t, int(s), None if pd.isna(o) else int(o)) for t, s, o in zip(texts, sizes, overlaps, strict=True)]
+        got = [([], [], 0) if t is None else cuts(t, int(s), None if pd.isna(o) else int(o)) for t, s, o in zip(texts, sizes, overlaps, strict=True)]
         return pd.DataFrame({"starts": [g[0] for g in got], "ends": [g[1] for g in got], "longest_run": [g[2] for g in got]})
 
     return each
@@ -202,15 +202,17 @@ def split_plan(df: DataFrame, key: str, text: str, size: Column, overlap: Column
     x = df.select(row, F.col(key).alias("_id"), F.col(text).alias("_t"), F.length(F.col(text)).alias("_n"), size.cast("int").alias("_size"), overlap.cast("int").alias("_overlap")).where((F.col("_n") > 0) & (F.col("_size") > 0))
     pair = lambda a, b: F.struct(a.cast("bigint").alias("begin"), b.cast("bigint").alias("end"))
     zipped = lambda a, b: F.zip_with(a, b, lambda p, q: pair(p, q))
-    done = lambda pieces, longest, over: ["_row.*", pieces.alias(out[0]), longest.cast("bigint").alias(out[1]), F.lit(over).alias(out[2])]
-    small = x.where("_n <= _size").select(*done(F.array(pair(F.lit(0), F.col("_n"))), F.lit(0), False))
-    big = x.where(f"_n > _size and _n <= {range_chars}").withColumn("_c", _row_cuts()(F.col("_t"), F.col("_size"), F.col("_overlap")))
-    big = big.select(*done(zipped(F.col("_c.starts"), F.col("_c.ends")), F.col("_c.longest_run"), True))
+    done = lambda pieces, longest, over: ["_row.*", pieces.alias(out[0]), longest.cast("bigint").alias(out[1]), over.alias(out[2])]
+    # one pass over all but the giant texts; those within the limit go to Python as nulls
+    over = F.col("_n") > F.col("_size")
+    near = x.where(f"_n <= greatest(_size, {range_chars})").withColumn("_c", _row_cuts()(F.when(over, F.col("_t")), F.col("_size"), F.col("_overlap")))
+    whole = F.array(pair(F.lit(0), F.col("_n")))
+    near = near.select(*done(F.when(over, zipped(F.col("_c.starts"), F.col("_c.ends"))).otherwise(whole), F.col("_c.longest_run"), over))
     giant = x.where(f"_n > _size and _n > {range_chars}").withColumn("_key", F.unhex(F.md5(F.to_json(F.struct(F.col("_id").alias("k"))))))
     parts = boundary_pieces(giant.select(F.col("_key").alias("key"), F.col("_t").alias("text"), F.col("_size").alias("size"), F.col("_overlap").alias("overlap")), range_chars)
     folded = parts.groupBy(F.col("key").alias("_key")).agg(F.array_sort(F.flatten(F.collect_list(zipped(F.col("starts"), F.col("ends"))))).alias("_p"), F.max("longest_run").alias("_l"))
-    giant = giant.join(folded, "_key").select(*done(F.col("_p"), F.col("_l"), True))
-    return small.unionByName(big).unionByName(giant)
+    giant = giant.join(folded, "_key").select(*done(F.col("_p"), F.col("_l"), F.lit(True)))
+    return near.unionByName(giant)
 
 
 def split_texts(df: DataFrame, key: str, text: str, size: Column, overlap: Column, range_chars: int = RANGE_CHARS) -> DataFrame:
