@@ -17,8 +17,6 @@ _EDGE_NUMBER = re.compile(r"^(?:([\dlOoSIB]{1,4}|[ivxlc]{1,8})(?:\s{2,}|\s*[|·
 _LIST_ITEM = re.compile(r"^[–•*·-]\s.*\.{3,}\s*\d+$|\.{4,}")
 _ENDS_TEXT = re.compile(r"[.!?;,»”“\"…]$")
 _AS_DIGIT = str.maketrans("oOlIiSsBgz|", "00111558921")
-# How a scanner misreads a letter as others; used here to compare lines regardless of it.
-_FOLDS = (("rn", "m"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("ii", "u"), ("ri", "n"))
 
 
 def _strip(line: str) -> str:
@@ -28,11 +26,10 @@ def _strip(line: str) -> str:
 def plain(s: str) -> str:
     """Letters and digits of a line in a form that misread characters do not change much."""
     s = "".join(ch for ch in unicodedata.normalize("NFKD", s).casefold() if ch.isalnum())
-    for a, b in _FOLDS:
-        s = s.replace(a, b)
     return s.translate(_LOOSE)
 
 
+# Letters that a scanner takes for each other, as one letter.
 _LOOSE = str.maketrans({"1": "i", "l": "i", "j": "i", "r": "i", "t": "f", "5": "s", "0": "o", "a": "o", "6": "b", "h": "b", "9": "g", "y": "v", "e": "c"})
 
 
@@ -41,8 +38,20 @@ def _grams(s: str) -> frozenset[str]:
     return frozenset(s[i : i + 2] for i in range(len(s) - 1))
 
 
+@lru_cache(4096)
+def _joined(s: str) -> str:
+    """A plain form in which the letters that a scanner splits in two are one again."""
+    for a, b in (("vv", "w"), ("in", "m"), ("ci", "d"), ("ii", "h")):
+        s = s.replace(a, b)
+    return s
+
+
 def like(a: str, b: str, least: float = 0.84) -> bool:
     """Whether two lines in plain form say the same."""
+    return _near(a, b, least) or _near(_joined(a), _joined(b), least)
+
+
+def _near(a: str, b: str, least: float) -> bool:
     if a == b:
         return bool(a)
     if not a or not b or abs(len(a) - len(b)) > 0.2 * max(len(a), len(b)) + 1:
@@ -79,6 +88,8 @@ def page_value(line: str) -> tuple[str, int, bool] | None:
         value = num.translate(_AS_DIGIT)
         return ("arabic", int(value), ornamented) if value.isdigit() else None
     r = roman(num)
+    if r is None and len(num) > 1 and set(num) <= set("oOlI|"):  # every digit misread
+        return "arabic", int(num.translate(_AS_DIGIT)), ornamented
     return None if r is None else ("roman", r, ornamented)
 
 
@@ -105,6 +116,16 @@ def _sequence(found: list[tuple[int, str, int, bool]]) -> set[int]:
     return chain
 
 
+def _next(bare: list[str], i: int, step: int) -> int | None:
+    """The nearest line with text before or after a line."""
+    i += step
+    while 0 <= i < len(bare):
+        if bare[i]:
+            return i
+        i += step
+    return None
+
+
 def classify(text: str, known: list[str] = ()) -> list[str]:
     """Kind of each line of ``text``, lines ended by a line feed; ``known`` are the book's title and makers."""
     lines = text.split("\n")
@@ -132,7 +153,7 @@ def classify(text: str, known: list[str] = ()) -> list[str]:
 
     # headers: lines that repeat far apart, or repeat the title, a maker or an earlier heading
     names = [p for p in {plain(q) for k in known for q in (k, *k.split(" - "))} if len(p) > 3]
-    headings: list[tuple[str, int]] = []
+    headings: list[list[tuple[int, str]]] = []
     short = []
     for i, b in enumerate(bare):
         if kinds[i] != BODY or len(b) > 1.6 * width or _LIST_ITEM.search(b):
@@ -143,20 +164,32 @@ def classify(text: str, known: list[str] = ()) -> list[str]:
         if not re.search(r"[^\W\d_]{2}", core):
             continue
         short.append((i, b, plain(core), plain(b), numbered))
+    at_top = lambda i: "\f" in lines[i] or any(kinds[j] == PAGE_NUMBER for j in (_next(bare, i, -1), _next(bare, i, 1)) if j is not None)
     for i, b, core, whole, _ in short:
         if _HEADING.match(b) and not (_ENDS_TEXT.search(b) and len(b) > 0.7 * width):
-            if any(repeats(whole, h) for h, _ in headings):
+            if b[0] in "Il" and any(like(whole, n) for n in names):  # an initial, no number
                 kinds[i] = HEADER
-            else:
-                headings.append((whole, i))
-                kinds[i] = HEADING
+                continue
+            group = next((g for g in headings if repeats(whole, g[0][1]) or repeats(g[0][1], whole)), None)
+            if group is None:
+                headings.append(group := [])
+            group.append((i, whole))
+    opening = lambda i: all(kinds[j] in (PAGE_NUMBER, BLANK) for j in range(i))  # the text's first words
+    mixed = lambda i: not bare[i].isupper() and not bare[i].islower()
+    styled = any(mixed(i) for g in headings for i, _ in g)
+    for g in headings:  # one line of a group is the heading, all others run at the tops of pages
+        own = [i for i, _ in g if mixed(i)] if styled else [i for i, _ in g]
+        first = next((i for i in own if not at_top(i) or opening(i) and _next(bare, i, 1) not in own), own[0] if own else None)
+        for i, _ in g:
+            kinds[i] = HEADING if i == first else HEADER
+    known_headings = [w for g in headings for _, w in g[:1]]
     ends = {_strip(k)[-1:] for k in known if _ENDS_TEXT.search(_strip(k))}
     for i, b, core, whole, numbered in short:
-        if kinds[i] == BODY and (numbered or not _ENDS_TEXT.search(b) or b[-1] in ends or b[-1] == ",") and any(repeats(core, n) or repeats(whole, n) for n in names):
+        if kinds[i] == BODY and (numbered or not _ENDS_TEXT.search(b) or b[-1] in ends or b[-1] == ",") and (any(repeats(core, n) or repeats(whole, n) for n in names) or any(repeats(whole, h) for h in known_headings)):
             kinds[i] = HEADER
     loose = [x for x in short if kinds[x[0]] == HEADER or kinds[x[0]] == BODY and not (_ENDS_TEXT.search(x[1]) and not x[4])]
     for a, (i, b, core, whole, numbered) in enumerate(loose):
-        if kinds[i] == HEADER or not numbered and (len(b) > 0.85 * width and not b.isupper() or re.search(r"\w{3}[.!?;:]”? ", b) and b[0].islower()):
+        if kinds[i] == HEADER or not numbered and (not b.isupper() and (not at_top(i) or len(b) > (0.6 if b[0].islower() else 0.85) * width) or re.search(r"\w{3}[.!?;:]”? ", b) and b[0].islower()):
             continue
         for j, b2, core2, _, _n in loose[a + 1 :]:
             if j - i >= 8 and len(core) > 4 and like(core, core2, 0.88):
