@@ -107,6 +107,12 @@ def markdown(timeline: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
     return timeline.withColumn("line", F.concat(F.lit("| "), F.concat_ws(" | ", "date", "event", *[F.coalesce(F.col(k), F.lit("")) for k in kept]), F.lit(" |")))
 
 
+def titled(timeline: DataFrame, titles: DataFrame) -> DataFrame:
+    """A timeline with the title of each row's table; ``titles`` has table_idx and title, small ones are broadcast by their measured size."""
+    t = timeline.withColumn("table_idx", F.floor(F.col("pos") / TABLE_ROWS).cast("int"))
+    return t.join(titles.select("table_idx", "title"), "table_idx", "left")
+
+
 def terms_and_births(rows: DataFrame, person: int = 2, term: int = 3) -> tuple[DataFrame, DataFrame]:
     """Two timelines of one table: (name, date) of terms of office, and of births and deaths.
 

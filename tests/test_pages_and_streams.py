@@ -40,6 +40,12 @@ def test_every_page_builds(spark):
         assert pages.build(df, pages.PAGES[name]).columns[:4] == ["pos", "date", "remark", "event"], name
 
 
+def test_titles(spark):
+    x = pages.build(spark.createDataFrame([(8, 0, ["1 BC", "x", "ref"]), (9, 0, ["2 BC", "y", "ref"])], ROWS), pages.Page(((8, 9),)))
+    t = pages.titled(x, spark.createDataFrame([(8, "Kings")], "table_idx int, title string"))
+    assert {r.event: r.title for r in t.collect()} == {"x": "Kings", "y": None}
+
+
 def test_special_tables(spark):
     p = spark.createDataFrame([(0, 0, ["1", "", "Ann Doe (b. May 1, 1900)[2]", "March 4, 1940 – Incumbent"]), (0, 1, ["2", "", "Max Low (1800–1870)", "March 4, 1840 – March 4, 1844"])], ROWS)
     terms, births = pages.terms_and_births(p)

@@ -6,9 +6,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quirelight.functions.text import strip
 from quirelight.sinks import render, state
-from quirelight.sources import clippings, files, library, notes
+from quirelight.sources import clippings, config, files, library, notes
 
 NOTE = """---
 uuid: 11111111-2222-3333-4444-555555555555
@@ -216,4 +215,14 @@ def test_clip_notes(spark):
     assert full == "# Notes on T\n\n_by A_\n\nsee [[Book]]\n\n### Note on page 5\n\n_on 2020:_\n\n> one\n\n### Highlight at location 9\n\n_on 2020:_\n\n> two\n\n"
     old = spark.createDataFrame([("f.md", "X ### Note on page 5\n\n")], "file string, content string")
     assert render.clip_notes(c, old).first().note == "X ### Note on page 5\n\n### Highlight at location 9\n\n_on 2020:_\n\n> two\n\n"
-    assert render.merge_metadata is not None and strip is not None
+    m = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3"})], "o map<string,string>, n map<string,string>")
+    assert m.select(render.merge_metadata(F.col("o"), F.col("n")).alias("m")).first().m == {"a": "1", "b": "3"}
+
+
+def test_config_and_device(tmp_path):
+    c = config.load_config(tmp_path / "c" / "x.json")
+    assert c == config.Config() and (tmp_path / "c" / "x.json").exists()
+    c.notes_folder = "/n"
+    config.save_config(c, tmp_path / "y.json")
+    assert config.load_config(tmp_path / "y.json").notes_folder == "/n"
+    assert config.device_clippings("no such device") is None
