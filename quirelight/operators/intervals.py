@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,29 +15,41 @@ def _buckets(lo: Column, hi: Column, width: float) -> Column:
 def overlap_join(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], width: float, most_buckets: int = 64) -> DataFrame:
     """Pairs whose closed intervals meet.  Both ends must be given and in order; null or reversed intervals meet nothing.
 
-    Intervals are listed under the buckets of ``width`` they touch and meet by bucket; a pair counts only in the first bucket
-    that both touch, so no pair comes twice.  Intervals over ``most_buckets`` buckets climb to buckets 64 times as wide until
-    they fit, and each level of the one side meets each of the other, so long intervals multiply nothing.
+    An interval has the lowest of four levels at which it touches at most ``most_buckets`` buckets; the buckets of each level are
+    ``most_buckets`` squared times as wide as those below, from ``width`` on.  Two intervals meet in the buckets of the higher of their levels, in one equi-join, and count
+    only in the first bucket that both touch, so no pair comes twice and long intervals multiply nothing.  Which of the four levels occur is looked up first, so
+    that usually each row is listed once.
     """
     (ls, le), (rs, re) = left_range, right_range
-    level = lambda s, e: F.when(F.col(e) - F.col(s) <= width * most_buckets, 0).when(F.col(e) - F.col(s) <= width * most_buckets**2, 1).when(F.col(e) - F.col(s) <= width * most_buckets**4, 2).otherwise(3)
-    wide = [width, width * most_buckets, width * most_buckets**3, None]
-    lx = left.where(F.col(ls) <= F.col(le)).withColumn("_ll", level(ls, le))
-    rx = right.where(F.col(rs) <= F.col(re)).withColumn("_rl", level(rs, re))
-    out = None
-    for a in range(4):
-        for b in range(4):
-            w = wide[max(a, b)]
-            x, y = lx.where(F.col("_ll") == a), rx.where(F.col("_rl") == b)
-            if w is None:  # of any length: all in one bucket
-                x, y = x.withColumn("_b", F.lit(0).cast("bigint")), y.withColumn("_c", F.lit(0).cast("bigint"))
-                first = F.lit(True)
-            else:
-                x, y = x.withColumn("_b", F.explode(_buckets(F.col(ls), F.col(le), w))), y.withColumn("_c", F.explode(_buckets(F.col(rs), F.col(re), w)))
-                first = F.col("_b") == F.floor(F.greatest(ls, rs) / w)
-            pairs = x.join(y, (F.col("_b") == F.col("_c")) & (F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le))).where(first).drop("_b", "_c", "_ll", "_rl")
-            out = pairs if out is None else out.unionByName(pairs)
-    return out
+    widths = [float(width) * most_buckets ** (2 * k) for k in range(4)]
+
+    def leveled(df: DataFrame, s: str, e: str, name: str) -> DataFrame:
+        length = F.col(e) - F.col(s)
+        level = F.lit(3)
+        for k in (2, 1, 0):
+            level = F.when(length <= widths[k] * most_buckets, k).otherwise(level)
+        return df.where(F.col(s) <= F.col(e)).withColumn(name, level)
+
+    lx, rx = leveled(left, ls, le, "_ll"), leveled(right, rs, re, "_rl")
+    here, there = (sorted(r[0] for r in x.select(c).distinct().collect()) for x, c in ((lx, "_ll"), (rx, "_rl")))
+
+    def listed(df: DataFrame, s: str, e: str, name: str, own: list[int], other: list[int], out: str) -> DataFrame:
+        spots = F.array().cast("array<struct<m:int,b:bigint>>")
+        for a in own:
+            at = [F.transform(_buckets(F.col(s), F.col(e), widths[m]), _spot(m)) for m in sorted({max(a, b) for b in other})]
+            if at:
+                spots = F.when(F.col(name) == a, F.concat(*at)).otherwise(spots)
+        return df.withColumn(out, F.explode(spots))
+
+    x, y = listed(lx, ls, le, "_ll", here, there, "_x"), listed(rx, rs, re, "_rl", there, here, "_y")
+    wide = F.element_at(F.array(*map(F.lit, widths)), F.col("_x.m") + 1)
+    same = (F.col("_x.m") == F.col("_y.m")) & (F.col("_x.b") == F.col("_y.b"))
+    meet = (F.col(ls) <= F.col(re)) & (F.col(rs) <= F.col(le)) & (F.greatest("_ll", "_rl") == F.col("_x.m")) & (F.col("_x.b") == F.floor(F.greatest(ls, rs) / wide))
+    return x.join(y, same & meet).drop("_x", "_y", "_ll", "_rl")
+
+
+def _spot(m: int) -> Callable[[Column], Column]:
+    return lambda b: F.struct(F.lit(m).alias("m"), b.alias("b"))
 
 
 def point_in_range(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: str, width: int) -> DataFrame:
