@@ -6,7 +6,7 @@ is the start of what is written there.  Texts outside the grammar give null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .text import let, strip
@@ -76,33 +76,43 @@ def _year_start(y: Column) -> Column:
 def point_to_jd(text: Column) -> Column:
     """Julian day of one point in time."""
 
-    def of(s: Column) -> Column:
-        part = lambda rx, k: F.regexp_extract(s, rx, k)
-        num = lambda rx, k: F.nullif(part(rx, k), F.lit(""))
-        y, m, d = num(_CIVIL, 1).try_cast("bigint"), F.coalesce(num(_CIVIL, 2).try_cast("int"), F.lit(1)), F.coalesce(num(_CIVIL, 3).try_cast("int"), F.lit(1))
-        bc = F.upper(part(_CIVIL, 4)).isin("BC", "BCE")
-        ay = F.when(bc, 1 - y).otherwise(y)
-        leap = (F.pmod(ay, F.lit(4)) == 0) & ((F.pmod(ay, F.lit(100)) != 0) | (F.pmod(ay, F.lit(400)) == 0))
-        longest = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
-        civil = F.when(m.between(1, 12) & d.between(1, longest) & ~(bc & (y == 0)), days_from_civil(ay, m, d) + F.lit(EPOCH_JD))
-        unit = F.lower(F.substring(part(_SCALED, 2), 1, 1))
-        scale = F.when(unit == "k", 1e3).when(unit == "m", 1e6).otherwise(1e9)
-        age = F.coalesce(num(_SCALED, 1).try_cast("double") * scale, num(_BP, 1).try_cast("double"))
-        return F.when(s.rlike(_CIVIL), civil).when(s.rlike(_SCALED) | s.rlike(_BP), _year_start(F.lit(1950) - F.round(age).cast("bigint")))
+    def civil(s: Column) -> Column:
+        num = lambda k: F.nullif(F.regexp_extract(s, _CIVIL, k), F.lit(""))
+        bc = F.upper(F.regexp_extract(s, _CIVIL, 4)).isin("BC", "BCE")
+        parts = F.struct(num(1).try_cast("bigint").alias("y"), F.coalesce(num(2).try_cast("int"), F.lit(1)).alias("m"), F.coalesce(num(3).try_cast("int"), F.lit(1)).alias("d"), bc.alias("bc"))
 
-    return let(strip(text), of)
+        def day(p: Column) -> Column:
+            ay = F.when(p["bc"], 1 - p["y"]).otherwise(p["y"])
+            leap = (F.pmod(ay, F.lit(4)) == 0) & ((F.pmod(ay, F.lit(100)) != 0) | (F.pmod(ay, F.lit(400)) == 0))
+            longest = F.when(p["m"] == 2, F.when(leap, 29).otherwise(28)).when(p["m"].isin(4, 6, 9, 11), 30).otherwise(31)
+            return F.when(p["m"].between(1, 12) & p["d"].between(1, longest) & ~(p["bc"] & (p["y"] == 0)), days_from_civil(ay, p["m"], p["d"]) + F.lit(EPOCH_JD))
+
+        return let(parts, day)
+
+    def age(s: Column) -> Column:
+        num = lambda rx: F.nullif(F.regexp_extract(s, rx, 1), F.lit("")).try_cast("double")
+        unit = F.lower(F.substring(F.regexp_extract(s, _SCALED, 2), 1, 1))
+        years = F.coalesce(num(_SCALED) * F.when(unit == "k", 1e3).when(unit == "m", 1e6).otherwise(1e9), num(_BP))
+        return let(F.lit(1950) - F.round(years).cast("bigint"), _year_start)
+
+    return let(strip(text), lambda s: F.when(s.rlike(_CIVIL), civil(s)).when(s.rlike(_SCALED) | s.rlike(_BP), age(s)))
 
 
 def range_to_jd(text: Column) -> Column:
     """struct(jd_start, jd_end) of a point (end null) or of a range written with `` - ``; null if any part is no time."""
 
-    def of(parts: Column) -> Column:
-        a, b = point_to_jd(F.get(parts, F.lit(0))), point_to_jd(F.get(parts, F.lit(1)))
-        one = F.struct(a.alias("jd_start"), F.lit(None).cast("double").alias("jd_end"))
-        two = F.struct(a.alias("jd_start"), b.alias("jd_end"))
-        return F.when((F.size(parts) == 1) & a.isNotNull(), one).when((F.size(parts) == 2) & a.isNotNull() & b.isNotNull(), two)
+    def of(days: Column) -> Column:
+        start, end = F.get(days, F.lit(0)), F.get(days, F.lit(1))
+        whole = (F.size(days) <= 2) & start.isNotNull() & ((F.size(days) == 1) | end.isNotNull())
+        return F.when(whole, F.struct(start.alias("jd_start"), end.alias("jd_end")))
+
+    return let(F.transform(F.split(text, " - "), point_to_jd), of)
+
 
-    return let(F.split(text, " - "), of)
+def range_of(spark: SparkSession, text: str) -> tuple[float, float | None] | None:
+    """A range as plain numbers, for queries about one period: worked out once instead of in every row."""
+    r = spark.range(1).select(range_to_jd(F.lit(text)).alias("r")).first().r
+    return None if r is None else (r.jd_start, r.jd_end)
 
 
 def _trimmed(x: Column) -> Column:

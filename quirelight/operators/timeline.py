@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.julian import days_from_civil, EPOCH_JD, range_to_jd
+from ..functions.julian import EPOCH_JD, days_from_civil, range_of, range_to_jd
 from ..functions.text import snippet, strip
 from .keywords import domain_filter, event_text, keyword_filter
 
@@ -39,8 +39,9 @@ def search_events(
     """
     x = events
     if time is not None:
-        q = range_to_jd(F.lit(time))
-        x = x.withColumn("time_class", time_class(F.col("jd_start"), F.col("jd_end"), q["jd_start"], q["jd_end"])).where(F.col("time_class").isin(*classes))
+        q = range_of(events.sparkSession, time)
+        start, end = q or (None, None)
+        x = x.withColumn("time_class", time_class(F.col("jd_start"), F.col("jd_end"), F.lit(start).cast("double"), F.lit(end).cast("double"))).where(F.col("time_class").isin(*classes))
     if list(domains):
         x = x.where(domain_filter(F.col("metadata")["domain"], domains))
     if list(keywords):

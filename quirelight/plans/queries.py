@@ -51,8 +51,8 @@ def spans(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select l_orderkey, l_linenumber, {_CLASS} as time_class from ({_SPANS}) s, {_PERIOD}")
 def event_time_class(spark, d):
-    q = julian.range_to_jd(F.lit(f"{FROM} - {TO}"))
-    return spans(spark, d).select("l_orderkey", "l_linenumber", F.coalesce(timeline.time_class(F.col("jd_start"), F.col("jd_end"), q["jd_start"], q["jd_end"]), F.lit("none")).alias("time_class"))
+    a, b = map(F.lit, julian.range_of(spark, f"{FROM} - {TO}"))
+    return spans(spark, d).select("l_orderkey", "l_linenumber", F.coalesce(timeline.time_class(F.col("jd_start"), F.col("jd_end"), a, b), F.lit("none")).alias("time_class"))
 
 
 def _time(kind: str) -> None:
