@@ -42,15 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back.
 
     It cuts the lineage like ``checkpoint()``, survives lost executors, and unlike it keeps columnar files, so
-    that later readers prune columns and see true sizes when choosing a join.
+    that later readers prune columns, and partitions of ``partition_by``, and see true sizes when choosing a join.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quirelight/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
     try:  # the table lasts as long as the application
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
