@@ -30,7 +30,7 @@ RANGE_CHARS, HALO = 1 << 20, 256
 RANGE_BYTES = 4 << 20
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, BLANK, SEPARATOR, UNSAFE = 6, 5, 4, 3, 2, 1, -1
-_PLACE = regex.compile(r"(?<=\s)(?=\S|\Z)|(?<=[。！？])(?=[^\s。！？」』）])|(?<=[、，；：])(?=\S)|(?<=[\w\p{P}\p{S}][-/?&=_.,;:+])(?=\w)")
+_PLACE = regex.compile(r"\s+|[。！？](?=[^\s。！？」』）])|[、，；：](?=\S)|(?<=[\w\p{P}\p{S}])[-/?&=_.,;:+](?=\w)")
 _UNSAFE = regex.compile(r"(?=[\p{M}\u200d\U0001F3FB-\U0001F3FF])|(?<=\u200d)|(?<=\r)(?=\n)|(?<=[\U0001F1E6-\U0001F1FF])(?=[\U0001F1E6-\U0001F1FF])")
 _SPACES = regex.compile(r"\s")
 _CLOSERS = "\"'”’»)]}*_"
@@ -56,15 +56,19 @@ def _level(text: str, pos: int, first: int) -> int:
     return CLAUSE if body[-1:] in (",", ";", ":") else BLANK
 
 
-def places(window: str, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places p with begin < p <= end of a window, and their strengths; places no cut may be made at have -1."""
-    found = {m.start(): UNSAFE for m in _UNSAFE.finditer(window, max(0, begin - 1)) if begin < m.start() <= end}
-    for m in _PLACE.finditer(window, max(0, begin - 1)):
-        p = m.start()
+def places(window: str, begin: int, end: int, weigh: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Places p with begin < p <= end of a window, and their strengths; places no cut may be made at have -1.
+
+    Without ``weigh`` all other strengths are 0, to be looked up where they matter.
+    """
+    found = {m.start(): UNSAFE for m in _UNSAFE.finditer(window, max(0, begin - 1)) if begin < m.start() <= end} if not window.isascii() or "\r" in window else {}
+    last = max(0, begin - 1)
+    for m in _PLACE.finditer(window, last):
+        p = m.end()
         if p > end:
             break
         if p > begin and p not in found:
-            found[p] = _level(window, p, 0)
+            found[p] = _level(window, p, 0) if weigh else 0
     at = np.array(sorted(found), dtype=np.int64)
     return at, np.array([found[p] for p in at.tolist()], dtype=np.int8)
 
@@ -87,7 +91,8 @@ def effective_overlap(size: int, overlap: int | None) -> int:
 class Folder:
     """Turns an item's places, fed in order, into pieces; holds no more places than one piece needs."""
 
-    def __init__(self, size: int, overlap: int | None):
+    def __init__(self, size: int, overlap: int | None, level: Callable[[int], int] | None = None):
+        self.level = level  # strength of a place that was fed without
         self.size, self.overlap = int(size), effective_overlap(int(size), overlap)
         self.start, self.done = 0, False
         self.at, self.levels = np.zeros(0, np.int64), np.zeros(0, np.int8)
@@ -116,18 +121,27 @@ class Folder:
         middle = max(first, self.start + self.size // 2)
         for lo, up in ((middle, hi), (first, middle - 1)):
             a, b = np.searchsorted(self.at, lo), np.searchsorted(self.at, up, "right")
-            if b > a and (best := self.levels[a:b].max()) > 0:
-                return int(self.at[a:b][np.nonzero(self.levels[a:b] == best)[0][-1]])
+            best, where = 0, -1
+            for k in range(b - 1, a - 1, -1):
+                strength = int(self.levels[k])
+                if strength == 0 and self.level is not None:
+                    strength = self.levels[k] = self.level(int(self.at[k]))
+                if strength > best:
+                    best, where = strength, int(self.at[k])
+                    if best == PARAGRAPH:
+                        break
+            if best > 0:
+                return where
         unsafe = set(self.at[self.levels == UNSAFE].tolist())
         return next((p for p in range(hi, middle - 1, -1) if p not in unsafe), hi)
 
 
 def cuts(text: str, size: int, overlap: int | None, range_chars: int = RANGE_CHARS) -> tuple[list[int], list[int], int]:
     """Starts and ends of the pieces of one text, and its longest unspaced stretch; by ranges as the distributed form does it."""
-    fold, pieces = Folder(size, overlap), []
+    fold, pieces = Folder(size, overlap, lambda p: _level(text, p, 0)), []
     for s in range(0, len(text), range_chars):
         w0, e = max(0, s - HALO), min(len(text), s + range_chars)
-        at, levels = places(text[w0 : e + HALO], s - w0, e - w0)
+        at, levels = places(text[w0 : e + HALO], s - w0, e - w0, weigh=False)
         pieces += fold.feed(at + w0, levels, e, runs(text[s:e]), e - s)
     pieces += fold.end(len(text))
     return [a for a, _ in pieces], [b for _, b in pieces], max(fold.longest, fold.run)
