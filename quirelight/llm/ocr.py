@@ -120,7 +120,7 @@ def scan(texts: DataFrame) -> DataFrame:
     """Lines, words and breaks of (book_id, text, known), stored once; texts are spread evenly, as each costs CPU."""
     spark = texts.sparkSession
     n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return stored(texts.select("book_id", "text", "known").where(F.col("text").rlike(r"(?U)\S")).repartition(n, "book_id").mapInPandas(_scan, _SCANNED), "scan")
+    return stored(texts.select("book_id", "text", "known").where(F.col("text").rlike(r"(?U)\S")).repartition(n, "book_id").mapInPandas(_scan, _SCANNED), "scan", ["what"])
 
 
 def _deletes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
