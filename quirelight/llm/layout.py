@@ -15,6 +15,7 @@ _NUMBER_LINE = re.compile(rf"^({_ORNAMENT})(page|seite|pagina|página|p\.|s\.|p
 _HEADING = re.compile(r"^(?:(?:chapter|kapitel|chapitre|cap[ií]tulo|teil|part|partie|parte|book|buch|livre|libro)\s+[\dIVXLl]+\b|§\s*[\dl]+|[\dlI]{1,2}\.\s+\S|(?:II|III|IV|VI|VII|VIII|IX|XI|XII)\.\s+\S)", re.IGNORECASE)
 _EDGE_NUMBER = re.compile(r"^(?:([\dlOoSIB]{1,4}|[ivxlc]{1,8})(?:\s{2,}|\s*[|·•–—]\s*))?(.*?)(?:(?:\s{2,}|\s*[|·•–—]\s*)([\dlOoSIB]{1,4}|[ivxlc]{1,8}))?$")
 _LIST_ITEM = re.compile(r"^[–•*·-]\s.*\.{3,}\s*\d+$|\.{4,}")
+_NO_WORD = re.compile(r"[\W_]+")
 _ENDS_TEXT = re.compile(r"[.!?;,»”“\"…]$")
 _AS_DIGIT = str.maketrans("oOlIiSsBgz|", "00111558921")
 
@@ -25,7 +26,7 @@ def _strip(line: str) -> str:
 
 def plain(s: str) -> str:
     """Letters and digits of a line in a form that misread characters do not change much."""
-    s = "".join(ch for ch in unicodedata.normalize("NFKD", s).casefold() if ch.isalnum())
+    s = _NO_WORD.sub("", (s if s.isascii() else unicodedata.normalize("NFKD", s)).casefold())
     return s.translate(_LOOSE)
 
 
@@ -48,6 +49,8 @@ def _joined(s: str) -> str:
 
 def like(a: str, b: str, least: float = 0.84) -> bool:
     """Whether two lines in plain form say the same."""
+    if abs(len(a) - len(b)) > 0.35 * max(len(a), len(b)) + 1:
+        return False
     return _near(a, b, least) or _near(_joined(a), _joined(b), least)
 
 
@@ -64,6 +67,8 @@ def _near(a: str, b: str, least: float) -> bool:
 
 def repeats(line: str, name: str) -> bool:
     """Whether a line says a name, whole or cut at the page's width; both in plain form."""
+    if not len(name) * 0.3 <= len(line) <= len(name) * 1.6 + 2:
+        return False
     return like(line, name) or 8 <= len(line) < len(name) <= 3 * len(line) and like(line, name[: len(line)])
 
 

@@ -105,22 +105,40 @@ def scan_text(text: str, known: list[str]) -> tuple[list[tuple[int, str]], list[
 _SCANNED = "book_id bigint, what string, line_no int, line2 int, a string, b string, sign string, before string, after string"
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for r in batch.itertuples(index=False):
-            furniture, words, breaks, compounds = scan_text(r.text, [k for k in r.known if k])
-            rows = [(r.book_id, k, i, 0, "", "", "", "", "") for i, k in furniture]
-            rows += [(r.book_id, "word", i, 0, w, "", "", p, n) for i, w, p, n in words if len(w) <= MAX_WORD]
-            rows += [(r.book_id, "break", i, j, a, b, s, p, n) for i, j, a, b, s, p, n in breaks]
-            rows += [(r.book_id, "compound", 0, 0, a, b, "", "", "") for a, b in compounds]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SCANNED.split(", ")])
+#: Rows of an Arrow batch that the scan hands to the JVM.
+SCAN_ROWS = 32_768
+
+
+def _scan(batches: Iterator) -> Iterator:
+    """Arrow batches of (book_id, text, known) as rows of lines, words and breaks, handed over in batches of even size."""
+    import pyarrow as pa
+
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    names, types = zip(*[(c.split()[0], kinds[c.split()[1]]) for c in _SCANNED.split(", ")], strict=True)
+    rows: list[tuple] = []
+
+    def batch():
+        columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    for part in batches:
+        for book, text, known in zip(*(part.column(c).to_pylist() for c in ("book_id", "text", "known")), strict=True):
+            furniture, words, breaks, compounds = scan_text(text, [k for k in known or () if k])
+            rows += [(book, k, i, 0, "", "", "", "", "") for i, k in furniture]
+            rows += [(book, "word", i, 0, w, "", "", p, n) for i, w, p, n in words if len(w) <= MAX_WORD]
+            rows += [(book, "break", i, j, a, b, s, p, n) for i, j, a, b, s, p, n in breaks]
+            rows += [(book, "compound", 0, 0, a, b, "", "", "") for a, b in compounds]
+            if len(rows) >= SCAN_ROWS:
+                yield batch()
+                rows.clear()
+    yield batch()
 
 
 def scan(texts: DataFrame) -> DataFrame:
     """Lines, words and breaks of (book_id, text, known), stored once; texts are spread evenly, as each costs CPU."""
     spark = texts.sparkSession
     n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return stored(texts.select("book_id", "text", "known").where(F.col("text").rlike(r"(?U)\S")).repartition(n, "book_id").mapInPandas(_scan, _SCANNED), "scan", ["what"])
+    return stored(texts.select("book_id", "text", "known").where(F.col("text").rlike(r"(?U)\S")).repartition(n, "book_id").mapInArrow(_scan, _SCANNED), "scan", ["what"])
 
 
 def _deletes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
