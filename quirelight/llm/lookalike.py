@@ -4,7 +4,7 @@ The skeleton of a text: decompose it, replace every character by the prototype o
 with equal skeletons look the same.  Width, kind of blank and invisible characters vanish; letters, accents, digits, marks,
 case, raised or lowered position, the number of blanks inside a line and line breaks stay.
 
-Defined results: null gives a null skeleton; a text without any visible character takes part in no group.
+Defined results: null gives a null skeleton; a text without any visible character, or without id, takes part in no group.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def with_skeleton(df: DataFrame, text: str = "text", out: str = "skeleton") -> D
 def same_look(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, look, spelling): hashes of the skeleton and of the stored text of every document with a visible character."""
     s = df.select(id_column, F.unhex(F.md5(F.col(text).cast("binary"))).alias("spelling"), skeletons(F.col(text)).alias("_s"))
-    return s.where(F.col("_s").rlike(r"(?U)\S")).select(id_column, F.unhex(F.md5(F.col("_s"))).alias("look"), "spelling")
+    return s.where(F.col("_s").rlike(r"(?U)\S") & F.col(id_column).isNotNull()).select(id_column, F.unhex(F.md5(F.col("_s"))).alias("look"), "spelling")
 
 
 def same_look_pairs(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,7 +9,9 @@ Running sums and ranks are made in two levels, within bounded buckets and over t
 holds a third of all rows meets no single task.
 
 Defined results: documents without tokens (null, empty) or without a source are not used, though null-source documents count
-towards the size of the corpus; a target without documents gets no slot and the share 0; null or negative shares and repeats count as 0.
+towards the size of the corpus; a target without documents gets no slot and the share 0; null or negative shares and repeats count as 0;
+targets without a mix name are no targets; a repeated document is another document, a repeated
+target adds to its share, with the larger repeats and ratio.
 """
 
 from __future__ import annotations
@@ -59,7 +61,8 @@ def blocks(docs: DataFrame, totals: DataFrame) -> DataFrame:
 def weights(targets: DataFrame, totals: DataFrame, corpus_tokens: Column) -> DataFrame:
     """Targets with the tokens wanted, blocks, and the number of slots they ask for."""
     size = F.coalesce("total_ratio", F.lit(0.0)) * corpus_tokens
-    x = targets.select("mix_name", "source", "target_share", "max_repeats", "total_ratio").join(totals, "source", "left").withColumn("wanted", F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)) * size)
+    t = targets.where("mix_name is not null").groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"), F.max("total_ratio").alias("total_ratio"))
+    x = t.join(totals, "source", "left").withColumn("wanted", F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)) * size)
     return x.withColumn("asked", F.when(F.col("n_blocks").isNotNull(), F.col("wanted") / F.col("block_size")).otherwise(0.0))
 
 

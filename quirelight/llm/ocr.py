@@ -38,6 +38,7 @@ CONTEXT_RATIO = 20
 
 _TOKEN = re.compile(r"[^\W_]+(?:[’'](?=[^\W\d_]))?")
 _BREAK = re.compile(r"([^\W_]+)([-‐‑¬\xad])$")
+_SIGNS = ("-", "‐", "‑", "¬", "\xad")
 _FIRST = re.compile(r"^\W*?([^\W_]+)")
 _SOFT = "\xad\u200b\u200c\u200d\u2060\ufeff"
 _CLEAN = str.maketrans({ch: None for ch in _SOFT})
@@ -66,6 +67,11 @@ def weighted(read: str, printed: str) -> float:
     return walk(0, 0, 2)
 
 
+def _break(line: str) -> re.Match | None:
+    """The word part and the sign at a line's end; only the last characters are looked at, as longer ones are no words."""
+    return _BREAK.search(line[-MAX_WORD - 2 :]) if line[-1:] in _SIGNS else None
+
+
 def _words(line: str) -> list[tuple[str, int, int]]:
     """Words of a line with their places."""
     return [(m.group().rstrip("’'"), m.start(), m.end()) for m in _TOKEN.finditer(line)]
@@ -86,12 +92,12 @@ def scan_text(text: str, known: list[str]) -> tuple[list[tuple[int, str]], list[
         found = _words(line)
         compounds += [(a[0].casefold(), b[0].casefold()) for a, b in zip(found, found[1:], strict=False) if b[1] - a[2] == 1 and line[a[2]] in "-‐‑"]
         cut = None
-        if n + 1 < len(flow) and kinds[i] == layout.BODY and kinds[flow[n + 1]] == layout.BODY and (m := _BREAK.search(line)):
+        if n + 1 < len(flow) and kinds[i] == layout.BODY and kinds[flow[n + 1]] == layout.BODY and (m := _break(line)):
             following = _words(lines[flow[n + 1]].strip(" \t\r\f\xa0"))
             if following and _FIRST.match(lines[flow[n + 1]]) and found and found[-1][0] == m.group(1):
                 cut = (i + 1, flow[n + 1] + 1, m.group(1), following[0][0], m.group(2), found[-2][0].casefold() if len(found) > 1 else "", following[1][0].casefold() if len(following) > 1 else "")
                 breaks.append(cut)
-        elif n + 1 == len(flow) and kinds[i] == layout.BODY and (m := _BREAK.search(line)):  # the text ends inside a word
+        elif n + 1 == len(flow) and kinds[i] == layout.BODY and (m := _break(line)):  # the text ends inside a word
             breaks.append((i + 1, 0, m.group(1), "", m.group(2), "", ""))
         text_words = [w for w, _, _ in found]
         for k, (w, _, _) in enumerate(found):
@@ -290,7 +296,7 @@ def assemble(text: str, known: list[str], fixes: list[tuple[int, str, str]], joi
             continue
         if kind == layout.BLANK:
             following = next((k for k in kinds[i:] if k != layout.BLANK), None)
-            if paragraph and following not in (layout.HEADER, layout.PAGE_NUMBER) and re.search(r"[.!?:”“»\"…]$", paragraph):
+            if paragraph and following not in (layout.HEADER, layout.PAGE_NUMBER) and re.search(r"[.!?:”“»\"…]$", paragraph[-1:]):
                 out.append(paragraph)
                 paragraph = ""
             continue
@@ -298,20 +304,20 @@ def assemble(text: str, known: list[str], fixes: list[tuple[int, str, str]], joi
             line = line[len(skip_first) :].lstrip()
         skip_first = None
         indented = len(raw) - len(raw.lstrip(" \t\f")) >= 2
-        if kind == layout.HEADING or width > 160 or layout._LIST_ITEM.search(line) or (indented and re.search(r"[.!?:”“»\"…]$", paragraph)):
+        if kind == layout.HEADING or width > 160 or layout._LIST_ITEM.search(line) or (indented and re.search(r"[.!?:”“»\"…]$", paragraph[-1:])):
             if paragraph:
                 out.append(paragraph)
             paragraph = ""
         fixed = by_line.get(i, {})
         if i in cuts:
             _, a, b = cuts[i]
-            stem = re.sub(r"[^\W_]+[-‐‑¬\xad]*$", "", line)
+            stem = line[: -MAX_WORD - 2] + re.sub(r"[^\W_]+[-‐‑¬\xad]*$", "", line[-MAX_WORD - 2 :])
             whole = fixed.get((a + b).casefold()) or by_line.get(cuts[i][0], {}).get((a + b).casefold())
             line = _apply(stem, fixed) + (_like_case(a, whole) if whole else a + b)
             skip_first = b
         else:
             line = _apply(line, fixed)
-        glue = "" if re.search(r"[^\W_][-‐‑]$", paragraph) else " "
+        glue = "" if re.search(r"[^\W_][-‐‑]$", paragraph[-2:]) else " "
         paragraph = f"{paragraph}{glue}{line}" if paragraph and line else paragraph or line
         if kind == layout.HEADING or width > 160 or layout._LIST_ITEM.search(line):
             out.append(paragraph)

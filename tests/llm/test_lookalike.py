@@ -47,5 +47,6 @@ def test_hot_copies_and_empty(spark):
     rows = [(i, "same text") for i in range(2000)] + [(5000, "ѕame text")]
     assert L.same_look_pairs(spark.createDataFrame(rows, "doc_id int, text string")).count() == 2000
     assert L.same_look_pairs(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+    assert L.same_look_pairs(spark.createDataFrame([(None, "a"), (1, "а")], "doc_id int, text string")).count() == 0
     kept = L.with_skeleton(spark.createDataFrame([(1, "ａ", "old")], "doc_id int, text string, skeleton string"))
     assert kept.columns == ["doc_id", "text", "skeleton"] and kept.first().skeleton == "a"

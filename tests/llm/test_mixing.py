@@ -58,5 +58,8 @@ def test_empty(spark):
     t = spark.createDataFrame([("a", "big", 0.5, 2, 0.5)], TARGETS)
     used, report = M.mix(spark.createDataFrame([], DOCS), t, PATH)
     assert used.count() == 0 and [r.tokens for r in report.collect()] == [0]
+    odd = spark.createDataFrame([(None, "big", 0.5, 2, 0.5), ("a", None, 0.5, 2, 0.5), ("a", "big", None, None, None), ("b", "big", 0.5, 1, None)], TARGETS)
+    used, report = M.mix(docs(spark), odd, PATH)
+    assert used.count() == 0 and report.count() == 3
     used, report = M.mix(docs(spark).limit(5), spark.createDataFrame([], TARGETS), PATH)
     assert used.count() == 0 and report.count() == 0
