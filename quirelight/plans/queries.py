@@ -433,7 +433,9 @@ def html_strip(spark, d):
     return table(spark, d, "books").select("book_id", text.tags_to_text(F.col("description")).alias("md"))
 
 
-@query()
+@query("""
+with n as (select r_name, n_name, n_nationkey, row_number() over (partition by r_name order by n_name)::int as row_idx from nation join region on n_regionkey = r_regionkey)
+select r_name, 0 as table_idx, row_idx, [n_name, n_nationkey::varchar] as cells from n union all select distinct r_name, 0, 0, ['Nation', 'Key'] from n""")
 def html_table_cells(spark, d):
     """Tables rendered to HTML and read back: nations by region."""
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -13,7 +13,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers, once a session, so that clusters need no installed copy."""
+    """Send this package to the Python workers, once a session, so that clusters need no installed copy.
+
+    The archive lies on the driver only; Spark hands it to the workers.
+    """
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
