@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .julian import event_date_text, range_to_jd
@@ -114,6 +114,14 @@ def clean_date(c: Column, default_scale: str | None = None, normalise: bool = Tr
     return let(out, lambda o: let(range_to_jd(o["date"]), lambda j: F.when(j.isNotNull() & ~is_exact(o["date"]), pair(event_date_text(j["jd_start"], j["jd_end"]), o["remark"])).otherwise(o)))
 
 
+def clean_column(df: DataFrame, raw: str, out: str = "cleaned", default_scale: str | None = None, normalise: bool = True) -> DataFrame:
+    """``df`` with ``clean_date`` of a column, worked out once for each different text and joined back; null stays null."""
+    texts = df.select(F.col(raw).alias("_raw")).where("_raw is not null").distinct()
+    cleaned = texts.select("_raw", clean_date(F.col("_raw"), default_scale, normalise).alias(out))
+    kept = [c for c in df.columns if c != out]
+    return df.select(*kept).join(cleaned, F.col(raw) == F.col("_raw"), "left").drop("_raw")
+
+
 def merge_date(year: Column, rest: Column) -> Column:
     """A year and ``Month``, ``D Month`` or ``Month D`` as ``Y-MM[-DD][ era]``; the bare year if the month is none."""
 

@@ -434,7 +434,7 @@ def html_strip(spark, d):
 
 
 @query("""
-with n as (select r_name, n_name, n_nationkey, row_number() over (partition by r_name order by n_name)::int as row_idx from nation join region on n_regionkey = r_regionkey)
+with n as (select r_name, n_name, n_nationkey, row_number() over (partition by r_name order by n_name || '<td>')::int as row_idx from nation join region on n_regionkey = r_regionkey)
 select r_name, 0 as table_idx, row_idx, [n_name, n_nationkey::varchar] as cells from n union all select distinct r_name, 0, 0, ['Nation', 'Key'] from n""")
 def html_table_cells(spark, d):
     """Tables rendered to HTML and read back: nations by region."""
@@ -501,8 +501,8 @@ case o_orderkey % 5 when 0 then '' when 1 then 'ca.' when 2 then 'Alt.: ' || (ye
 def date_clean(spark, d):
     y, k = F.year("o_orderdate"), F.col("o_orderkey") % 5
     raw = F.when(k == 0, F.concat(y, F.lit(" – "), y + 3)).when(k == 1, F.concat(F.lit("ca. "), y, F.lit("[12]"))).when(k == 2, F.concat(y, F.lit("/9"))).when(k == 3, F.concat(F.lit("before "), y, F.lit(" BCE"))).otherwise(F.concat(y, F.lit("s")))
-    c = dates.clean_date(raw)
-    return table(spark, d, "orders").select("o_orderkey", c["date"].alias("date"), c["remark"].alias("remark"))
+    x = dates.clean_column(table(spark, d, "orders").select("o_orderkey", raw.alias("raw")), "raw")
+    return x.select("o_orderkey", "cleaned.date", "cleaned.remark")
 
 
 @query("""

@@ -96,6 +96,8 @@ def test_dates(spark):
     assert apply(spark, dates.spread_unit, ["4.5 - 4 Ma"]) == ["4.5 Ma - 4 Ma"]
     assert apply(spark, lambda c: dates.tolerance_to_range(c, "ka BP"), ["12 ± 2", "5"]) == ["14 ka BP - 10 ka BP", "5"]
     assert apply(spark, dates.fossil_date, ["ca. 1.8 mya", "3,5–3,2 Ma"]) == ["1.8 Ma BP", "3.5 Ma BP - 3.2 Ma BP"]
+    df = spark.createDataFrame([(1, "ca. 5 BC"), (2, None), (3, "ca. 5 BC")], "i int, raw string")
+    assert sorted((r.i, r.cleaned.date if r.cleaned else None) for r in dates.clean_column(df, "raw").collect()) == [(1, "5 BC"), (2, None), (3, "5 BC")]
     assert apply(spark, dates.eras, ["5 B.C."]) == ["5 BC"]
 
 
