@@ -46,18 +46,12 @@ def event_lines(events: DataFrame, length: int | None = None) -> DataFrame:
 
 def wrap(text: str, width: int) -> list[str]:
     """Lines of at most ``width``, broken at the last blank or hyphen of a line's second half, else at the width."""
-    out = []
+    out, half = [], width // 2
     while len(text) > width:
-        end = skip = width
-        for i in range(width, width // 2, -1):
-            if text[i] == " ":
-                end, skip = i, i + 1
-                break
-            if text[i - 1] == "-":
-                end = skip = i
-                break
+        blank, hyphen = text.rfind(" ", half + 1, width + 1), text.rfind("-", half, width) + 1
+        end = max(blank, hyphen) if max(blank, hyphen) > 0 else width
         out.append(text[:end])
-        text = text[skip:]
+        text = text[end + (end == blank) :]
     return [*out, text] if text or not out else out
 
 

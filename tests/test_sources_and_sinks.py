@@ -185,6 +185,7 @@ def test_renderers(spark):
     t = [r.line for r in render.table_lines(spark.createDataFrame([(2, "b"), (1, "a")], "i int, v string"), ["i", "v"], ["i"]).orderBy("line_no").collect()]
     assert t == ["| i | v |", "| --- | --- |", "| 1 | a |", "| 2 | b |"]
     assert render.wrap("abc", 5) == ["abc"] and render.wrap("", 5) == [""] and render.wrap("abcdefgh", 4) == ["abcd", "efgh"]
+    assert render.wrap("one two three", 9) == ["one two", "three"] and render.wrap("some-hyphen", 7) == ["some-", "hyphen"] and render.wrap("a bcdefghij", 6) == ["a bcde", "fghij"]
 
 
 def test_notes_out(spark, tmp_path):
