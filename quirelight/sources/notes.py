@@ -100,46 +100,42 @@ def parse_tables(body: str) -> list[dict]:
     A header that does not end in a pipe ends the note's parsing; a line after the header that is no separator clears the columns;
     the line that ends a table is not looked at again; fences and ``$$`` blocks are skipped; tables without rows are left out.
     """
+    lines = [x.strip() for x in body.split("\n")]
     tables: list[dict] = []
-    state, columns, rows, meta = "text", [], [], {}
+    meta: dict[str, str] = {}
     cells = lambda s: [c.strip() for c in s[1:-1].split("|")]
+    piped = lambda s: s.endswith("|") and len(s) > 1
+    at = 0
 
-    def close() -> None:
-        if rows:
-            tables.append({"columns": list(columns), "rows": [list(r) for r in rows], "metadata": dict(meta)})
-        rows.clear()
-        columns.clear()
-        meta.clear()
-
-    for raw in body.split("\n"):
-        line = raw.strip()
+    def take() -> str:
+        """The next line; a comment in it replaces the metadata."""
+        nonlocal at, meta
+        line, at = lines[at], at + 1
         if "<!--" in line:
             meta = comment_metadata(line)
-        if state == "text":
-            if line.startswith("```"):
-                state = "fence"
-            elif line.startswith("$$"):
-                state = "text" if len(line) > 2 and line.endswith("$$") else "math"
-            elif line.startswith("|"):
-                if not line.endswith("|") or len(line) < 2:
-                    return tables
-                columns, state = cells(line), "separator"
-        elif state == "separator":
-            if not line.startswith("|"):
-                state, columns = "text", []
+        return line
+
+    while at < len(lines):
+        line = take()
+        block = next((m for m in ("```", "$$") if line.startswith(m)), None)
+        if block and not (block == "$$" and len(line) > 2 and line.endswith("$$")):
+            while at < len(lines):
+                inner = take()
+                if inner.startswith(block) if block == "```" else inner.endswith(block):
+                    break
+        elif line.startswith("|"):
+            if not piped(line):
+                return tables
+            if at == len(lines):
+                break
+            below, rows = take(), []
+            if not below.startswith("|"):
                 continue
-            if not re.fullmatch(r"[| \-:><]*", line):
-                columns = []
-            state = "rows"
-        elif state == "rows":
-            if line.startswith("|"):
-                rows.append(cells(line if line.endswith("|") and len(line) > 1 else line + "|"))
-            else:
-                state = "text"
-                close()
-        elif state == "fence" and line.startswith("```") or state == "math" and line.endswith("$$"):
-            state = "text"
-    close()
+            while at < len(lines) and (row := take()).startswith("|"):
+                rows.append(cells(row if piped(row) else row + "|"))
+            if rows:
+                tables.append({"columns": cells(line) if re.fullmatch(r"[| \-:><]*", below) else [], "rows": rows, "metadata": meta})
+            meta = {}
     return tables
 
 
