@@ -463,6 +463,12 @@ def short_title(spark, d):
     return b.where(~odd & ~F.col("title_sort").rlike(", (Le|La|Les|El|Los|Las|Un|Une|Una)$")).select("book_id", text.short_title(F.col("title"), text.strip_articles(F.col("title_sort")), F.col("creators")).alias("short_title"))
 
 
+@query()
+def short_title_all(spark, d):
+    """Short titles of every book; the stored ones keep signs and drop other articles, so no SQL says the same."""
+    return table(spark, d, "books").select("book_id", text.short_title(F.col("title"), text.strip_articles(F.col("title_sort")), F.col("creators"), text.nfc).alias("short_title"))
+
+
 @query("select doc_id, md5(regexp_replace(regexp_replace(text, ' {2,}', ' ', 'g'), '\\n{2,}', chr(10), 'g')) as light, md5(regexp_replace(regexp_replace(text, '(\\n\\n)+', ' ', 'g'), ' {2,}', ' ', 'g')) as full_ from documents")
 def compress_ws(spark, d):
     x = table(spark, d, "documents")
