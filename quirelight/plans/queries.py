@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, hashes, julian, text
-from ..operators import diff, intervals, ordered, search, timeline
+from ..operators import diff, intervals, ordered, search, snapshots, timeline
 from ..operators.keywords import domain_filter, keyword_filter
 from ..session import table
 from ..sinks import render
@@ -352,6 +352,19 @@ def note_plan(spark, d):
     return diff.note_plan(e, x.where("sequence_number % 2 = 1").groupBy("uuid").agg(F.max("title").alias("name")))
 
 
+@query("""
+with k as (select sequence_number % 2 as odd, title, regexp_replace(regexp_replace(lower(uuid), '[\\s{}()-]', '', 'g'), '^(urn:)?(uuid:)?', '') as h from lib_entries),
+u as (select odd, title, regexp_replace(h, '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') as uuid from k where regexp_full_match(h, '[0-9a-f]{32}')),
+e as (select uuid, coalesce(min(title), '') as name from u where odd = 0 group by uuid), n as (select uuid, coalesce(max(title), '') as name from u where odd = 1 group by uuid)
+select coalesce(e.uuid, n.uuid) as uuid, coalesce(e.name, n.name) as name, n.name as old_name,
+case when n.uuid is null then case when e.name in (select name from n) then 'blocked' else 'create' end when e.uuid is null then 'orphan' when e.name = n.name then 'keep' else 'rename' end as action from e full join n on e.uuid = n.uuid""")
+def note_plan_all(spark, d):
+    """The plan over all entries that have a uuid, in whatever notation; an entry without title has the empty name."""
+    x = table(spark, d, "lib_entries").select(snapshots.canonical_uuid(F.col("uuid")).alias("uuid"), "sequence_number", "title").where("uuid is not null")
+    side = lambda odd, name: x.where(f"sequence_number % 2 = {odd}").groupBy("uuid").agg(F.coalesce(name, F.lit("")).alias("name"))
+    return diff.note_plan(side(0, F.min("title")), side(1, F.max("title")))
+
+
 @query("""
 with new as (select * from events where ts >= timestamp '2024-01-15'), u as (select user_id, max_by(event_id, ts) as event_id from new where user_id % 2 = 0 group by 1), o as (select user_id, max_by(event_id, ts) as event_id from events where ts < timestamp '2024-01-15' group by 1)
 select * from o where user_id not in (select user_id from u) union all select * from u""")

@@ -44,9 +44,22 @@ def test_short_title_all(spark, tmp_path):
         (long + " XIV", long + " XIV", ["Jane Doe"]), ("3 " + long, long, ["Jane Doe"]), (long + " 2 of the Series", long + " 2 of the Series", []), ("Maps 12", "Maps 12", None), ("Volume IV of Maps", "Maps", ["A"]),
         ("a" * 40 + " " + long, "a" * 40 + " " + long, ["A"]), ("w" * 90 + " 7", "w" * 90 + " 7", ["A"]), ("མ་" * 50, "མ་" * 50, ["A"]), ("Long, " + long, "Long, " + long, ["A"]), ("A" * 31 + ": " + long, "A" * 31 + ": " + long, ["A"]),
         ('What? <"Why">', 'What? <"Why">', ["Doe/Roe  J."]), ("x__y _ z", "x__y _ z", ["a|b", "c"]), ("a_ b: c\\d *", "a_ b: c\\d *", [" A "]), ("Les quais I", "quais I, Les", ["B"]), ("Der Turm 2", "Turm 2, Der", ["B"]), ("The Maps", "Maps, The", ["B"]),
-        ("Café 3", "Café 3", ["Zoë"]), (None, None, None), ("Maps", None, ["C"]), (None, "Maps 4", ["C"]), ("", "", [""]), (" " + "b" * 80, " " + "b" * 80, ["D"]), ("c" * 29 + "." + "d" * 60 + " V", "c" * 29 + "." + "d" * 60 + " V", ["D"]),
+        ("Cafe\u0301 3", "Cafe\u0301 3", ["Zoe\u0308"]), (None, None, None), ("Maps", None, ["C"]), (None, "Maps 4", ["C"]), ("", "", [""]), (" " + "b" * 80, " " + "b" * 80, ["D"]), ("c" * 29 + "." + "d" * 60 + " V", "c" * 29 + "." + "d" * 60 + " V", ["D"]),
     ]
     spark.createDataFrame([(i, *t) for i, t in enumerate(titles)], "book_id bigint, title string, title_sort string, creators array<string>").write.parquet(f"{tmp_path}/books.parquet")
     got = {r.book_id: r.short_title for r in queries.QUERIES["short_title_all"](spark, str(tmp_path)).collect()}
     assert got == {i: short_title(*t) for i, t in enumerate(titles)}
     assert got[0].endswith(" XIV - Jane Doe") and got[17] == " - Unknown"
+
+
+def test_note_plan_all(spark, tmp_path):
+    u = [f"{i:08x}-00ab-0000-0000-00000000000f" for i in range(7)]
+    rows = [
+        (2, u[0], "a"), (1, u[0].upper(), "a"), (2, "urn:uuid:" + u[1], "b"), (1, "{" + u[1].upper() + "}", "c"), (2, u[2].replace("-", ""), "d"), (1, " " + u[3], "e"), (2, "uuid:" + u[4], "e"),
+        (2, u[5], None), (1, u[5] + " ", None), (4, u[6], "z"), (2, u[6].upper(), "y"), (2, None, "f"), (1, "", "g"), (2, "not one", "h"),
+    ]
+    spark.createDataFrame(rows, "sequence_number bigint, uuid string, title string").write.parquet(f"{tmp_path}/lib_entries.parquet")
+    got = sorted(tuple(r) for r in queries.QUERIES["note_plan_all"](spark, str(tmp_path)).select("uuid", "name", "old_name", "action").collect())
+    assert got == [
+        (u[0], "a", "a", "keep"), (u[1], "b", "c", "rename"), (u[2], "d", None, "create"), (u[3], "e", "e", "orphan"), (u[4], "e", None, "blocked"), (u[5], "", "", "keep"), (u[6], "y", None, "create"),
+    ]
