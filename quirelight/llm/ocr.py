@@ -31,8 +31,10 @@ _PAIRS: list[tuple[str, str, float]] = [(*p.split(" "), 0.3) for p in CONFUSIONS
 #: Words longer than this are no words.
 MAX_WORD = 40
 #: A target must occur LEAST times and RATIO times as often as the word it replaces, and that word no more often than scanners
-#: err: SLACK times, and once in every PER_ERROR of the target.
+#: err: SLACK times, and once in every PER_ERROR of the target.  The rate counts from LEAST other words that show it.
 RATIO, LEAST, SLACK, PER_ERROR = 8, 4, 3, 250
+#: Or no more often than the scanner's own rate for that confusion leads to expect, so many deviations above it included.
+SPREAD = 4
 #: By how many times the bigrams must speak for the other word where both words are frequent.
 CONTEXT_RATIO = 20
 
@@ -159,10 +161,37 @@ def _deletes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["w", "n", "rest"])
 
 
+def confusion(read: str, printed: str) -> str | None:
+    """The one confusion, as in the table, that makes ``read`` of ``printed``; null if it takes more."""
+    for a, b, _ in _PAIRS:
+        i = printed.find(a)
+        while i >= 0:
+            if printed[:i] + b + printed[i + len(a) :] == read:
+                return f"{a} {b}"
+            i = printed.find(a, i + 1)
+    return None
+
+
 def _weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         b = b.assign(cost=[weighted(w, v) for w, v in zip(b.w, b.v, strict=True)])
-        yield b[b.cost < 1]
+        b = b[b.cost < 1]
+        pair = [confusion(w, v) for w, v in zip(b.w, b.v, strict=True)]
+        yield b.assign(pair=pair, times=[v.count(p.split(" ")[0]) if p else 0 for v, p in zip(b.v, pair, strict=True)])
+
+
+def _printed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often the letters of each confusion are printed; one row each for a batch."""
+    letters = sorted({a for a, _, _ in _PAIRS})
+    for b in batches:
+        yield pd.DataFrame([(a, sum(w.count(a) * n for w, n in zip(b.w, b.n, strict=True))) for a in letters], columns=["letters", "m"])
+
+
+def rates(found: DataFrame, words: DataFrame) -> DataFrame:
+    """(pair, read, kinds, printed): how often each confusion happens in all words, in how many different ones, and to how many letters it might."""
+    single = found.where(f"pair is not null and n > 0 and nv >= {RATIO} * n").groupBy("pair", "w").agg(F.max("n").alias("n"))
+    read = single.groupBy("pair").agg(F.sum("n").alias("read"), F.count(F.lit(1)).alias("kinds")).withColumn("letters", F.substring_index("pair", " ", 1))
+    return read.join(words.mapInPandas(_printed, "letters string, m bigint").groupBy("letters").agg(F.sum("m").alias("printed")), "letters").drop("letters")
 
 
 def lexicon(scanned: DataFrame) -> DataFrame:
@@ -183,8 +212,13 @@ def candidates(lex: DataFrame, whole: DataFrame) -> DataFrame:
     right = index.where(f"n >= {LEAST}").where(F.col("w").rlike(r"^\D+$")).select("rest", F.col("w").alias("v"), F.col("n").alias("nv"))
     pairs = left.join(right, "rest").where((F.col("w") != F.col("v")) & (F.abs(F.length("w") - F.length("v")) <= 2) & (F.col("nv") * 50 >= F.col("n")))
     pairs = pairs.select("w", "n", "v", "nv").distinct()
-    found = pairs.mapInPandas(_weigh, "w string, n bigint, v string, nv bigint, cost double")
-    return stored(found.withColumn("rare", (F.col("nv") >= RATIO * F.col("n")) & (F.col("n") <= SLACK + F.col("nv") / PER_ERROR)).where("rare or cost <= 0.3"), "candidates")
+    found = stored(pairs.mapInPandas(_weigh, "w string, n bigint, v string, nv bigint, cost double, pair string, times int"), "weighed")
+    found = found.join(rates(found, words), "pair", "left")
+    own = F.col("nv") * F.col("times")  # a word is no witness for itself
+    expected = F.when((F.col("kinds") > LEAST) & (F.col("printed") > own), own * F.greatest(F.col("read") - F.col("n"), F.lit(0)) / (F.col("printed") - own))
+    found = found.withColumn("most", F.coalesce(expected + SPREAD * F.sqrt(expected), F.lit(0.0)))
+    found = found.withColumn("rare", (F.col("nv") >= RATIO * F.col("n")) & (F.col("n") <= SLACK + F.greatest(F.col("nv") / PER_ERROR, "most")))
+    return stored(found.where("rare or cost <= 0.3").select("w", "n", "v", "nv", "cost", "rare"), "candidates")
 
 
 def repairs(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
