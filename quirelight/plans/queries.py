@@ -249,6 +249,16 @@ def index_changes(spark, d):
     return search.index_changes(side(t.where("entry_id % 2 = 0")), side(t.where("entry_id % 3 <> 0")))
 
 
+@query("""
+with r as (select desc_key as k, md5(coalesce(text, '')) as h, row_number() over (partition by desc_key order by indexed_at, entry_id) as a, row_number() over (partition by desc_key order by indexed_at desc, entry_id desc) as b from text_entries)
+select k as "desc", case when max(case when a = 1 then h end) = max(case when b = 1 then h end) then 'keep' else 'replace' end as action from r group by k""")
+def index_changes_all(spark, d):
+    """What an index of the first version of every entry must do to hold the latest."""
+    t, at = table(spark, d, "text_entries"), F.struct("indexed_at", "entry_id")
+    side = lambda pick: t.groupBy(F.col("desc_key").alias("desc")).agg(F.md5(F.coalesce(pick(F.struct("text"), at)["text"], F.lit(""))).alias("text_hash"))
+    return search.index_changes(side(F.min_by), side(F.max_by))
+
+
 @query("""
 with t as (select doc_id, text, unnest(range(0, length(text), 64)) as a from documents where length(text) > 0)
 select doc_id, a::int as at, md5(substring(text, (greatest(0, least(a - 8, length(text) - 16)) + 1)::int, 16)) as h from t""")
@@ -375,6 +385,15 @@ def upsert_incremental(spark, d):
     return diff.upsert(last(e.where(F.col("ts") < at)), last(e.where((F.col("ts") >= at) & (F.col("user_id") % 2 == 0))), ["user_id"])
 
 
+@query("select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) t where r = 1")
+def upsert_incremental_all(spark, d):
+    """The latest event of each user before a date, brought up to date by all events from then on."""
+    e = table(spark, d, "events")
+    at = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    last = lambda x: x.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return diff.upsert(last(e.where(F.col("ts") < at)), last(e.where(F.col("ts") >= at)), ["user_id"])
+
+
 @query("""
 select desc_key as path, regexp_replace(regexp_replace(text, '\\[\\[ostrand(\\]\\]|\\|)', '[[Ostrand (city)\\1', 'gi'), '\\[\\[pellask(\\]\\]|\\|)', '[[New Pellask\\1', 'gi') as content
 from documents where regexp_matches(lower(text), '\\[\\[(ostrand|pellask)(\\]\\]|\\|[^\\n]*\\]\\])')""")

@@ -2,6 +2,7 @@
 
 import re
 import unicodedata
+from datetime import datetime
 
 from quirelight.plans import queries
 
@@ -63,3 +64,18 @@ def test_note_plan_all(spark, tmp_path):
     assert got == [
         (u[0], "a", "a", "keep"), (u[1], "b", "c", "rename"), (u[2], "d", None, "create"), (u[3], "e", "e", "orphan"), (u[4], "e", None, "blocked"), (u[5], "", "", "keep"), (u[6], "y", None, "create"),
     ]
+
+
+def test_index_changes_all(spark, tmp_path):
+    day = lambda n: datetime(2024, 1, n)
+    rows = [(3, "a", "x", day(1)), (9, "a", "y", day(2)), (2, "b", "x", day(2)), (5, "b", "z", day(1)), (8, "b", "z", day(3)), (15, "c", None, day(1)), (21, "d", None, day(1)), (27, "d", "w", day(1))]
+    spark.createDataFrame(rows, "entry_id bigint, desc_key string, text string, indexed_at timestamp").write.parquet(f"{tmp_path}/text_entries.parquet")
+    got = {r.desc: r.action for r in queries.QUERIES["index_changes_all"](spark, str(tmp_path)).collect()}
+    assert got == {"a": "replace", "b": "keep", "c": "keep", "d": "replace"}
+
+
+def test_upsert_incremental_all(spark, tmp_path):
+    rows = [(1, 1, datetime(2024, 1, 1)), (2, 1, datetime(2024, 1, 20)), (3, 2, datetime(2024, 1, 2)), (4, 3, datetime(2024, 1, 16)), (5, 3, datetime(2024, 1, 16))]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in queries.QUERIES["upsert_incremental_all"](spark, str(tmp_path)).select("user_id", "event_id").collect())
+    assert got == [(1, 2), (2, 3), (3, 5)]
