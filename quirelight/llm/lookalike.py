@@ -9,6 +9,7 @@ Defined results: null gives a null skeleton; a text without any visible characte
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import unicodedata
 from functools import cache
@@ -19,14 +20,21 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-# Characters of other scripts, and signs, that are drawn like the ASCII ones below them.
-LOOKALIKES = {
-    "a": "а", "c": "сϲⅽ", "d": "ԁⅾ", "e": "е", "h": "һ", "i": "іⅰ", "j": "јϳ", "l": "ⅼӏ", "m": "ⅿ", "o": "оοօ", "p": "рⲣ", "q": "ԛ", "s": "ѕ",
-    "u": "ս", "v": "νѵⅴ", "w": "ԝ", "x": "хⅹ", "y": "у", "z": "ᴢ", "g": "ɡ", "n": "ո",
-    "A": "АΑ", "B": "ВΒ", "C": "СϹⅭ", "D": "Ⅾ", "E": "ЕΕ", "F": "Ϝ", "H": "НΗ", "I": "ІΙӀⅠ", "J": "ЈͿ", "K": "КΚK", "L": "Ⅼ", "M": "МΜϺⅯ",
-    "N": "Ν", "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "U": "Ս", "V": "ѴⅤ", "W": "Ԝ", "X": "ХΧⅩ", "Y": "ΥҮ", "Z": "Ζ",
-    "!": "ǃ", ":": "꞉։∶", ";": ";", "-": "‐‑﹣", "|": "∣ǀ", "'": "ʹ", ",": "‚",
+# Letters of other scripts, and signs, that are drawn like the ones before them, script by script (Unicode code charts).
+_DRAWN_ALIKE = {
+    "greek small": "oο vν pρ uυ cϲ jϳ ıι ĸκ",
+    "greek capital": "AΑ BΒ EΕ ZΖ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ YΥ XΧ CϹ MϺ FϜ JͿ",
+    "cyrillic small": "aа cс dԁ eе hһ iі jј lӏ oо pр qԛ sѕ vѵ wԝ xх yу ĸк",
+    "cyrillic capital": "AА BВ CС EЕ GԌ HН IІ IӀ JЈ KК MМ OО PР QԚ SЅ TТ VѴ WԜ XХ YҮ",
+    "armenian": "oօ nո uս hհ jյ gց qզ OՕ SՏ UՍ LԼ",
+    "coptic": "cⲥ oⲟ pⲣ AⲀ BⲂ CⲤ HⲎ IⲒ KⲔ MⲘ NⲚ OⲞ PⲢ TⲦ XⲬ YⲨ ZⲌ",
+    "cherokee": "AᎪ BᏴ CᏟ DᎠ EᎬ GᏀ HᎻ JᎫ KᏦ LᏞ MᎷ PᏢ RᏒ SᏚ TᎢ VᏙ WᎳ YᎩ ZᏃ bᏏ dᏧ hᏂ iᎥ",
+    "lisu": "Aꓮ Bꓐ Cꓚ Dꓓ Eꓰ Fꓝ Gꓖ Hꓧ Iꓲ Jꓙ Kꓗ Lꓡ Mꓟ Nꓠ Oꓳ Pꓑ Rꓣ Sꓢ Tꓔ Uꓴ Vꓦ Wꓪ Xꓫ Yꓬ Zꓜ",
+    "roman numeral": "cⅽ dⅾ iⅰ lⅼ mⅿ vⅴ xⅹ CⅭ DⅮ IⅠ LⅬ MⅯ VⅤ XⅩ",
+    "phonetic": "gɡ zᴢ",
+    "sign": "!ǃ :꞉ :։ :∶ -‐ -‑ -﹣ |∣ |ǀ 'ʹ ,‚",
 }
+LOOKALIKES = {pair[1]: pair[0] for pairs in _DRAWN_ALIKE.values() for pair in pairs.split()}
 #: Wide, narrow and font variants and no-break forms differ from their parts only in looks that do not count.
 _PLAIN_TAGS = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<small>"}
 #: Of the compatibility characters only those that are drawn as their parts side by side.
@@ -48,7 +56,7 @@ def _ignorable(ch: str) -> bool:
 @cache
 def table() -> dict[int, str | None]:
     """Prototype of every character that has another one, derived from the Unicode database and the fixed look-alikes."""
-    proto: dict[int, str | None] = {ord(ch): p for p, chars in LOOKALIKES.items() for ch in chars}
+    proto: dict[int, str | None] = {ord(ch): p for ch, p in LOOKALIKES.items()}
     for o in range(128, sys.maxunicode + 1):
         if o in proto or 0xD800 <= o <= 0xDFFF or 0xAC00 <= o <= 0xD7A3:
             continue
@@ -59,7 +67,7 @@ def table() -> dict[int, str | None]:
         parts = unicodedata.decomposition(ch).split()
         if parts and parts[0] in _PLAIN_TAGS or parts and parts[0] == "<compat>" and any(w in unicodedata.name(ch, "") for w in _DRAWN_AS_PARTS):
             whole = "".join(chr(int(x, 16)) for x in parts[1:])
-            proto[o] = "".join(proto.get(ord(x)) or x for x in unicodedata.normalize("NFD", whole))
+            proto[o] = "".join((proto[ord(x)] or "") if ord(x) in proto else x for x in unicodedata.normalize("NFD", whole)) or None
         elif _ignorable(ch) and ch not in _LINE_BREAKS:
             proto[o] = None
     proto |= {ord(ch): "\n" for ch in _LINE_BREAKS} | {9: " "}
@@ -79,27 +87,63 @@ def _pictured(text: str) -> str:
     return "".join(out)
 
 
+@cache
+def _keys() -> frozenset[str]:
+    return frozenset(map(chr, table()))
+
+
 def skeleton(text: str | None) -> str | None:
     """The form that all texts of the same look share."""
     if text is None:
         return None
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if not text.isascii():
-        text = unicodedata.normalize("NFD", _pictured(text)).translate(table())
+        text = unicodedata.normalize("NFD", _pictured(text))
+    proto = table()
+    for ch in _keys().intersection(text):  # the few different ones, each in one pass; no prototype holds a character that has one
+        text = text.replace(ch, proto[ord(ch)] or "")
+    if not text.isascii():
         text = unicodedata.normalize("NFD", text)
-    else:
-        text = text.translate(table())
     return "\n".join(line.rstrip(" ") for line in text.split("\n")).rstrip("\n")
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def ascii_skeleton(text: Column) -> Column:
+    """The form of an ASCII text, in the JVM."""
+    proto = table()
+    changed = [o for o in range(128) if o in proto and o != 13]
+    changed.sort(key=lambda o: proto[o] is None)  # characters without a counterpart are removed
+    s = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    s = F.translate(s, "".join(map(chr, changed)), "".join(proto[o] for o in changed if proto[o]))
+    return F.rtrim(F.regexp_replace(s, r"(?<! ) ++(?=\n|\z)", ""), F.lit("\n"))
+
+
 def skeletons(text: Column | str) -> Column:
-    """Column function: the consistent form of a text column."""
+    """Column function: the consistent form of a text column; only texts that are not ASCII go to Python."""
+    text = F.col(text) if isinstance(text, str) else text
 
     @F.pandas_udf("string")
     def each(texts: pd.Series) -> pd.Series:
         return pd.Series([skeleton(t) for t in texts], dtype=object)
 
-    return each(text)
+    return F.when(is_ascii(text), ascii_skeleton(text)).otherwise(each(F.when(~is_ascii(text), text)))
+
+
+def looks(text: Column) -> Column:
+    """16-byte hash of the consistent form; null where nothing is visible."""
+
+    def digest(s: str | None) -> bytes | None:
+        return hashlib.md5(s.encode(), usedforsecurity=False).digest() if s and not s.isspace() else None
+
+    @F.pandas_udf("binary")
+    def each(texts: pd.Series) -> pd.Series:
+        return pd.Series([digest(skeleton(t)) for t in texts], dtype=object)
+
+    plain = ascii_skeleton(text)
+    return F.coalesce(F.when(is_ascii(text) & plain.rlike(r"\S"), F.unhex(F.md5(plain.cast("binary")))), each(F.when(~is_ascii(text), text)))
 
 
 def with_skeleton(df: DataFrame, text: str = "text", out: str = "skeleton") -> DataFrame:
@@ -108,9 +152,12 @@ def with_skeleton(df: DataFrame, text: str = "text", out: str = "skeleton") -> D
 
 
 def same_look(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, look, spelling): hashes of the skeleton and of the stored text of every document with a visible character."""
-    s = df.select(id_column, F.unhex(F.md5(F.col(text).cast("binary"))).alias("spelling"), skeletons(F.col(text)).alias("_s"))
-    return s.where(F.col("_s").rlike(r"(?U)\S") & F.col(id_column).isNotNull()).select(id_column, F.unhex(F.md5(F.col("_s"))).alias("look"), "spelling")
+    """(id, look, spelling), stored: hashes of the skeleton and of the stored text of every document with a visible character.
+
+    The filter is put on the stored table, as above the function it would run Python once more.
+    """
+    s = df.select(id_column, F.unhex(F.md5(F.col(text).cast("binary"))).alias("spelling"), looks(F.col(text)).alias("look"))
+    return stored(s, "looks").where(F.col("look").isNotNull() & F.col(id_column).isNotNull()).select(id_column, "look", "spelling")
 
 
 def same_look_pairs(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,7 +167,7 @@ def same_look_pairs(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     share in one spelling costs nothing.  Pairs are made between spellings and then expanded to the documents, so that no
     pair of exact copies is ever formed.
     """
-    keyed = stored(same_look(df, id_column, text), "looks")
+    keyed = same_look(df, id_column, text)
     spellings = keyed.select("look", "spelling").distinct()
     varied = spellings.groupBy("look").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("look")
     kept = spellings.join(varied, "look", "left_semi")

@@ -50,3 +50,39 @@ def test_hot_copies_and_empty(spark):
     assert L.same_look_pairs(spark.createDataFrame([(None, "a"), (1, "а")], "doc_id int, text string")).count() == 0
     kept = L.with_skeleton(spark.createDataFrame([(1, "ａ", "old")], "doc_id int, text string, skeleton string"))
     assert kept.columns == ["doc_id", "text", "skeleton"] and kept.first().skeleton == "a"
+
+
+SCRIPTS = {
+    "greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧρυο", "ABEZHIKMNOPTYXpuo"), "cyrillic": ("АВСЕНІЈКМОРЅТХаеорсухѕіј", "ABCEHIJKMOPSTXaeopcyxsij"), "armenian": ("հոօսՕՍՏ", "hnouOUS"), "coptic": ("ⲞⲟⲤⲥⲢⲣ", "OoCcPp"),
+    "cherokee": ("ᎪᏴᏟᎠᎬ", "ABCDE"), "lisu": ("ꓮꓐꓚꓓꓰꓝ", "ABCDEF"),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_scripts(script):
+    drawn, plain = SCRIPTS[script]
+    assert L.skeleton(drawn) == plain
+
+
+def test_prototypes_have_none_of_their_own():
+    keys = L._keys()
+    assert not {p for p in L.table().values() if p and keys & set(p)}
+
+
+def test_ascii_in_the_jvm_is_the_same(spark):
+    from pyspark.sql import functions as F
+
+    rng = __import__("random").Random(7)
+    texts = ["".join(rng.choice("ab  \t\n\r\x00\x0b\x0c\x1c\x1f\x7f.") for _ in range(rng.randrange(30))) for _ in range(800)] + ["a" + " " * 100_000 + "b", "\n" * 50_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.s for r in df.select("i", L.ascii_skeleton(F.col("t")).alias("s")).collect()}
+    assert [got[i] for i in range(len(texts))] == [L.skeleton(t) for t in texts]
+    looks = {r.i: r.k for r in df.select("i", L.looks(F.col("t")).alias("k")).collect()}
+    assert all((looks[i] is None) == (not L.skeleton(t).strip()) for i, t in enumerate(texts))
+
+
+def test_python_runs_once(spark):
+    from pyspark.sql import functions as F
+
+    plan = spark.createDataFrame([(1, "a")], "doc_id int, text string").select("doc_id", L.looks(F.col("text")).alias("k"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
