@@ -9,12 +9,15 @@ year 9999 and a wall-clock time in an unknown or missing zone.  A null locale co
 
 from __future__ import annotations
 
+import zlib
 import zoneinfo
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import exists, shared_dir
+
 #: Month names (full and abbreviated) of the four languages the tools write.
 MONTHS = {
     1: "january jan januar jänner jän janvier janv enero ene",
@@ -68,7 +71,6 @@ def with_instant(df: DataFrame, raw: str = "raw", zone: str = "zone", locale: st
     raw, zone, locale = "_raw", "_zone", "_locale"
     month_of = F.create_map(*chain.from_iterable((F.lit(w), F.lit(m)) for m, names in MONTHS.items() for w in names.split()))
     offset_of = F.create_map(*chain.from_iterable((F.lit(a), F.lit(m)) for a, m in ABBREVIATIONS.items()))
-    zones = F.array(*map(F.lit, known_zones(df.sparkSession)))
 
     s = F.regexp_replace(F.regexp_replace(F.col(raw), r"(?U)\s+", " "), r"^ | $", "")
     s = F.regexp_replace(s, r"(?U)^\p{L}+\.?, (?=\d)", "")  # a weekday says nothing new
@@ -123,7 +125,7 @@ def with_instant(df: DataFrame, raw: str = "raw", zone: str = "zone", locale: st
         .when(F.col("_t8") != "", F.col("_t8"))
         .otherwise(F.col(zone))
     )
-    x = x.withColumn("_wall", wall).withColumn("_minutes", minutes).withColumn("_region", F.when(F.array_contains(zones, region), region))
+    x = x.withColumn("_wall", wall).withColumn("_minutes", minutes).withColumn("_region", F.when(region.isin(*known_zones(df.sparkSession)), region))
     # the JVM resolves a doubled wall time to its first occurrence and moves a skipped one forward by the gap
     zoned = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("_wall"), F.coalesce(F.col("_region"), F.lit("UTC"))))
     clocked = F.when(F.col("_minutes").isNotNull(), F.col("_wall") - F.col("_minutes").cast("bigint") * 60_000_000).when(F.col("_region").isNotNull(), zoned)
@@ -141,21 +143,38 @@ def with_instant(df: DataFrame, raw: str = "raw", zone: str = "zone", locale: st
     return x.select("_row.*", found.cast("bigint").alias(out))
 
 
+#: Raise it whenever the reading of texts changes, so that a kept dictionary is not used beyond it.
+RULES = 2
+
+
+def kept_at(spark: SparkSession) -> str:
+    """Path of the dictionary that all runs share: by the version of the rules and of the zone data."""
+    zones = zlib.crc32(" ".join(known_zones(spark)).encode())
+    return f"{shared_dir(spark)}/quirelight/instants-{RULES}-{zones:08x}"
+
+
+def unseen(rows: DataFrame, path: str) -> DataFrame:
+    """Distinct (raw, zone, locale) of ``rows`` that the dictionary at ``path`` lacks."""
+    spark = rows.sparkSession
+    keys = rows.where(F.col("raw").isNotNull()).select("raw", "zone", "locale").distinct()
+    if not exists(spark, f"{path}/_SUCCESS"):
+        return keys
+    k, old = keys.alias("k"), spark.read.schema(_DICTIONARY).parquet(path).alias("o")
+    return k.join(old, F.col("k.raw").eqNullSafe(F.col("o.raw")) & F.col("k.zone").eqNullSafe(F.col("o.zone")) & F.col("k.locale").eqNullSafe(F.col("o.locale")), "left_anti")
+
+
+_DICTIONARY = "raw string, zone string, locale string, epoch_us bigint"
+
+
 def dictionary(rows: DataFrame, path: str) -> DataFrame:
     """Extend the dictionary at ``path`` by the texts of ``rows`` that it lacks, and return it whole.
 
-    Only unseen triples are parsed; each call appends one batch of files, so a repeated call adds nothing.
+    Only unseen triples are parsed; each call that meets any appends one batch of files, so a repeated call parses and adds nothing.  Two calls at
+    a time may add a triple twice, with the same instant: the returned table holds it once.
     """
     spark = rows.sparkSession
-    keys = rows.where(F.col("raw").isNotNull()).select("raw", "zone", "locale").distinct()
-    schema = "raw string, zone string, locale string, epoch_us bigint"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-        old = spark.read.schema(schema).parquet(path).alias("o")
-        k = keys.alias("k")
-        keys = k.join(old, F.col("k.raw").eqNullSafe(F.col("o.raw")) & F.col("k.zone").eqNullSafe(F.col("o.zone")) & F.col("k.locale").eqNullSafe(F.col("o.locale")), "left_anti")
-    with_instant(keys).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    with_instant(unseen(rows, path)).write.mode("append").parquet(path)
+    return spark.read.schema(_DICTIONARY).parquet(path).distinct()
 
 
 def normalise(rows: DataFrame, path: str) -> DataFrame:

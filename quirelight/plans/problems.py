@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import instants, snapshots
-from ..session import shared_dir, table
+from ..session import table
 
 DATE_FIELDS = ("publication_date", "date_added")
 CONTENT = ["title", "creators", "series", "subjects", "languages", "publisher", "identifiers", "formats", "docs"]
@@ -24,7 +22,7 @@ def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = p1_values(spark, sf_dir)
-    out = instants.normalise(rows, f"{shared_dir(spark)}/quirelight/instants-{uuid.uuid4().hex}")
+    out = instants.normalise(rows, instants.kept_at(spark))
     return out.where(F.col("epoch_us").isNotNull() & ~F.col("raw").rlike(instants.CANONICAL)).select("book_id", "field_name", "epoch_us")
 
 

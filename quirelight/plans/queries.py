@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, hashes, julian, text
 from ..operators import diff, intervals, ordered, search, snapshots, timeline
 from ..operators.keywords import domain_filter, keyword_filter
-from ..session import table
+from ..session import is_folder, table
 from ..sinks import render
 from ..sources import clippings, files, notes
 
@@ -685,12 +685,7 @@ def stream_event_windows(spark, d):
     from ..streaming import events
 
     schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet" if not _is_folder(spark, f"{d}/events.parquet") else "*.parquet").parquet(d if not _is_folder(spark, f"{d}/events.parquet") else f"{d}/events.parquet")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet" if not is_folder(spark, f"{d}/events.parquet") else "*.parquet").parquet(d if not is_folder(spark, f"{d}/events.parquet") else f"{d}/events.parquet")
     stream = stream.withColumn("at", F.col("ts").cast("timestamp"))
     out = events.run_once(events.windowed_counts(stream, "at", ["event_type"]), ["start", "event_type"])
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
-
-
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()

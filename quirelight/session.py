@@ -34,17 +34,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, one machine) a local folder is made and set.
+    Only on a single machine (a local master, as in tests) a folder is made and set where the session leaves it unset.
     """
-    known = spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.quirelight.localCheckpointDir", None)
     if not known:
-        known = spark.conf.get("spark.quirelight.localCheckpointDir", None)
-        if not known:
-            known = "file://" + tempfile.mkdtemp(prefix="quirelight-")
-            spark.conf.set("spark.quirelight.localCheckpointDir", known)
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        known = "file://" + tempfile.mkdtemp(prefix="quirelight-")
+        spark.conf.set("spark.quirelight.localCheckpointDir", known)
     return known.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back.
 
@@ -55,8 +70,8 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     path = f"{shared_dir(spark)}/quirelight/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*(partition_by or [])).parquet(path)
     try:  # the table lasts as long as the application
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+        p, fs = _path(spark, path)
+        fs.deleteOnExit(p)
     except AttributeError:
         pass  # a remote session has no JVM handle
     return spark.read.schema(df.schema).parquet(path)

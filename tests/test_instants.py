@@ -68,3 +68,20 @@ def test_empty_table(spark, tmp_path):
 
 def test_found_leaves_out_canonical(spark):
     assert spark.range(1).select(F.lit("2019-11-28T00:00:00+00:00").rlike(instants.CANONICAL).alias("x")).first().x
+
+
+def test_second_run_parses_nothing(spark):
+    from quirelight.plans import problems
+
+    d = "/root/testdata/sf0.001"
+    first = sorted(map(tuple, problems.p1_found(spark, d).collect()))
+    assert instants.unseen(problems.p1_values(spark, d), instants.kept_at(spark)).count() == 0
+    assert sorted(map(tuple, problems.p1_found(spark, d).collect())) == first
+
+
+def test_texts_added_twice_join_once(spark, tmp_path):
+    path = f"file://{tmp_path}/d"
+    a = spark.createDataFrame([("2010", None, None)], DICT)
+    instants.dictionary(a, path)
+    instants.with_instant(a.select("raw", "zone", "locale")).write.mode("append").parquet(path)
+    assert instants.normalise(a, path).count() == 1
