@@ -75,3 +75,14 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     except AttributeError:
         pass  # a remote session has no JVM handle
     return spark.read.schema(df.schema).parquet(path)
+
+
+def parts(df: DataFrame, each: int) -> int:
+    """Into how many partitions to spread ``df`` so that each holds about ``each`` bytes, and every core has some."""
+    spark = df.sparkSession
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        cores = spark.sparkContext.defaultParallelism
+    except AttributeError:  # a remote session has no JVM handle
+        size, cores = 0, 1
+    return max(3 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // each, 1_000_000))
