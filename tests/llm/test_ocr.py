@@ -76,3 +76,74 @@ def test_odd_texts(spark):
     assert issues(spark, []) == []
     clash = spark.createDataFrame([(1, "\n".join(corpus()), [], 1, 2)], KIND + ", w int, n int")
     assert ocr.found(clash).count() == 4
+
+
+def test_page_evidence_does_not_depend_on_the_width(spark):
+    def book(words):
+        rng = random.Random(5)
+        return "\n".join(x for no in range(11, 16) for x in ["\fTHE HEDGE OF TILLOWBY", str(no), *[" ".join(rng.choice(WORDS) for _ in range(words)) for _ in range(24)], ""])
+
+    for words in (8, 24, 60):
+        kinds = layout.classify(book(words))
+        assert (kinds.count("header"), kinds.count("page_number")) == (5, 5), words
+    assert layout.classify("Page 7\ntext goes on\nhere")[0] == "page_number"  # three lines are enough
+
+
+def test_chains_reach_over_lines_of_numbers():
+    rng = random.Random(6)
+    page = lambda no: [*clean_lines(no, 20), str(no)]
+    figures = [str(rng.randrange(3000, 9000)) for _ in range(30)]
+    lines = page(31) + page(32) + clean_lines(1, 5) + figures + clean_lines(2, 5) + page(33) + page(34)
+    kinds = layout.classify("\n".join(lines))
+    assert [x for x, k in zip(lines, kinds, strict=True) if k == "page_number"] == ["31", "32", "33", "34"]
+    assert layout.page_value("- - - - - - - - - - - - - - 12 - - - - - - - - - - - - - - -") == ("arabic", 12, True)
+    assert layout.classify("\n".join([*clean_lines(1, 5), "page 6021", *clean_lines(2, 5)]))[5] == "page_number"
+
+
+def test_many_lines_that_could_be_headers():
+    import time
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(3, 9))) for _ in range(4000)]
+    text = "\n".join(" ".join(rng.choice(words) for _ in range(7)).upper() for _ in range(10_000))
+    began = time.process_time()
+    assert set(layout.classify(text)) <= {"body", "header"}
+    assert time.process_time() - began < 15  # 2.5 s on a free core; all pairs took minutes
+
+
+def test_long_words(spark):
+    long = "donaudampfschifffahrtsgesellschaftskapitaenswitwe"
+    assert len(long) > 45
+    text = [f"{x} {long}." for x in clean_lines(4, 40)]
+    text[7] = text[7].replace("kapitaens", "kapitacns")
+    giant = "x" * 30_000
+    assert issues(spark, [(1, "\n".join(text), []), (2, "\n".join([giant, giant + "-", "y"]), [])]) == [(1, 8, "misread"), (2, 2, "hyphen")]
+    assert ocr.weighted(giant, giant[:-1] + "y") == float("inf") and ocr.weighted("m" + giant, "rn" + giant) == 0.3
+
+
+def brute(read, printed, left=2):
+    """All ways to read a word, letter by letter."""
+    if not printed and not read:
+        return 0.0
+    best = brute(read[1:], printed[1:], left) if read and printed and read[0] == printed[0] else float("inf")
+    if left:
+        for a, b, cost in ocr._PAIRS:
+            if printed.startswith(a) and read.startswith(b):
+                best = min(best, cost + brute(read[len(b) :], printed[len(a) :], left - 1))
+    return best
+
+
+def test_weights_and_index_against_brute_force():
+    rng = random.Random(9)
+    words = WORDS + "alle corn rim him win time garden lilium".split()
+    for _ in range(3000):
+        printed = read = rng.choice(words)
+        for _ in range(rng.randrange(3)):
+            a, b, _c = rng.choice(ocr._PAIRS)
+            read = read.replace(a, b, 1)
+        if abs(len(read) - len(printed)) > 2:
+            continue
+        w = ocr.weighted(read, printed)
+        assert w == brute(read, printed) or abs(w - brute(read, printed)) < 1e-9
+        if read != printed and w < 0.5 and not (ocr.deletes(read) | ocr.reversals(read)) & ocr.deletes(printed):
+            raise AssertionError((read, printed))
