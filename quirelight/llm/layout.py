@@ -31,7 +31,7 @@ _LIST_ITEM = re.compile(r"^[–•*·-]\s.*\.{3,}\s*\d+$|\.{4,}")
 _EDGE_SIGN = re.compile(r"\s{2}|[|·•–—]")
 _TWO_LETTERS = re.compile(r"[^\W\d_]{2}")
 _SENTENCE_GOES_ON = re.compile(r"\w{3}[.!?;:]”? ")
-_ENDS_TEXT = re.compile(r"[.!?;,»”“\"…]$")
+_ENDS_TEXT = set(".!?;,»”“\"…")
 _AS_DIGIT = str.maketrans("oOlIiSsBgz|", "00111558921")
 
 
@@ -173,12 +173,26 @@ class _Near:
     def at(self, i: int) -> list:
         return list(self.blocks.get(i // SPAN, {}).values())
 
+    def targets(self, n: int) -> list[tuple]:
+        """What a line of ``n`` letters may say, with the pairs of letters in it and how many of them the line must share, in both plain forms."""
+        found = []
+        for name in self.everywhere:
+            if fits(n, len(name)):
+                for t in {name, name[:n]} if 8 <= n < len(name) <= 3 * n else {name}:
+                    if abs(n - len(t)) <= 0.35 * max(n, len(t)) + 1:
+                        g, j = _grams(t), _grams(_joined(t))
+                        found.append((t, g, 0.55 * len(g), j, 0.55 * len(j)))
+        return found
+
     def known(self, line: str) -> bool:
-        """Whether the line says one of the names that hold everywhere; only those of a fitting length are compared."""
+        """Whether the line says one of the names that hold everywhere."""
         n = len(line)
         if n not in self.by_length:
-            self.by_length[n] = [x for x in self.everywhere if fits(n, len(x))]
-        return any(repeats(line, x) for x in self.by_length[n])
+            self.by_length[n] = self.targets(n)
+        if not (targets := self.by_length[n]):
+            return False
+        has, has_joined = line.__contains__, _joined(line).__contains__
+        return any((sum(map(has, g)) >= least or sum(map(has_joined, j)) >= joined) and like(line, t) for t, g, least, j, joined in targets)
 
 
 def classify(text: str, known: list[str] = ()) -> list[str]:
@@ -202,7 +216,7 @@ def classify(text: str, known: list[str] = ()) -> list[str]:
     near = _Near([p for p in {plain(q) for k in known for q in (k, *k.split(" - "))} if len(p) > 3])
     short = []
     for i, (b, whole) in enumerate(zip(bare, plain(text).split("\n"), strict=True)):
-        if kinds[i] != BODY or len(b) > 1.6 * width or _LIST_ITEM.search(b):
+        if kinds[i] != BODY or len(b) > 1.6 * width or "..." in b and _LIST_ITEM.search(b):
             continue
         core, numbered, form = b, False, whole
         if _EDGE_SIGN.search(b) and (m := _EDGE_NUMBER.match(b)):
@@ -216,7 +230,7 @@ def classify(text: str, known: list[str] = ()) -> list[str]:
     mixed = lambda i: not bare[i].isupper() and not bare[i].islower()
     headings: list[list[tuple[int, str]]] = []
     for i, b, _, whole, _ in short:
-        if _HEADING.match(b) and not (_ENDS_TEXT.search(b) and len(b) > 0.7 * width):
+        if _HEADING.match(b) and not (b[-1] in _ENDS_TEXT and len(b) > 0.7 * width):
             if b[0] in "Il" and any(like(whole, n) for n in near.everywhere):  # an initial, no number
                 kinds[i] = HEADER
                 continue
@@ -235,13 +249,13 @@ def classify(text: str, known: list[str] = ()) -> list[str]:
         for i, _ in g:
             kinds[i] = HEADING if i == first else HEADER
             near.add(i, g)
-    ends = {_strip(k)[-1:] for k in known if _ENDS_TEXT.search(_strip(k))}
+    ends = {k[-1] for k in map(_strip, known) if k and k[-1] in _ENDS_TEXT}
     for i, b, core, whole, numbered in short:
-        if kinds[i] != BODY or not numbered and _ENDS_TEXT.search(b) and b[-1] not in ends and b[-1] != ",":
+        if kinds[i] != BODY or not numbered and b[-1] in _ENDS_TEXT and b[-1] not in ends and b[-1] != ",":
             continue
         if near.known(core) or core != whole and near.known(whole):
             kinds[i] = HEADER
-        elif (group := next((g for g in near.at(i) if repeats(whole, g[0][1])), None)) is not None:
+        elif (group := next((g for g in near.at(i) if fits(len(whole), len(g[0][1])) and repeats(whole, g[0][1])), None)) is not None:
             kinds[i] = HEADER
             near.add(i, group)
     _repeated(short, bare, kinds, width, at_top)
@@ -263,7 +277,7 @@ def _number_pages(lines: list[str], bare: list[str], kinds: list[str]) -> None:
 
 def _repeated(short: list[tuple], bare: list[str], kinds: list[str], width: int, at_top: Callable[[int], bool]) -> None:
     """Mark lines that look like headers and return, much the same, some lines later; a line found so is looked for again from its own place."""
-    loose = [x for x in short if kinds[x[0]] == HEADER or kinds[x[0]] == BODY and not (_ENDS_TEXT.search(x[1]) and not x[4])]
+    loose = [x for x in short if kinds[x[0]] == HEADER or kinds[x[0]] == BODY and not (x[1][-1] in _ENDS_TEXT and not x[4])]
     at, lengths = [x[0] for x in loose], [len(x[2]) for x in loose]
     bits: dict[str, int] = {}
     masks: list[tuple[int, int, int, int] | None] = [None] * len(loose)
