@@ -5,8 +5,9 @@ names and own words go through MinHash banding over padded q-grams; the numbers
 curve for a wanted recall.  Candidate forms are verified by a Monge-Elkan similarity whose inner measure knows initials, short
 forms and slips of the keyboard, and star clustering joins forms to the fullest and best connected form near them.
 
-Bands with very many words are not compared pair by pair: their words meet through the deletion neighbourhoods of the
-verified distance, which finds the same pairs.
+No curve reaches the recall for short words, so every word, of any length, meets its one-slip variants by its deletion neighbourhood as well; bands that
+very many words share are left to it, which changes no result.  Forms of one or two near family names are compared only if their given
+names share a key too (the name, its formal names, its own deletion neighbourhood, or the letter of an initial), so a family name that many bear is no hot group.
 
 Defined results: null and blank names, and names without any letter, take part in no link; spellings count once however
 many rows hold them; a name known by its initials only goes to the nearest fuller name, the more frequent one on ties.
@@ -14,6 +15,7 @@ many rows hold them; a name known by its initials only goes to the nearest fulle
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
@@ -122,14 +124,15 @@ def _near(a: str, b: str) -> bool:
 
 
 def slip(a: str, b: str) -> bool:
-    """Whether one slip of the keyboard leads from one word to the other: a neighbouring key, a swap, a letter left out or typed twice."""
+    """Whether one slip of the keyboard leads from one word to the other: a neighbouring key, a swap (past a doubled letter too), a letter left out or typed twice."""
     if a == b or min(len(a), len(b)) < 3:
         return False
     i = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
     if len(a) == len(b):
         if a[i + 1 :] == b[i + 1 :]:
             return _near(a[i], b[i])
-        return a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]
+        k = 3 if len(a) > i + 2 and a[i + 1] in (a[i], a[i + 2]) and a[i + 1] == b[i + 1] else 2  # past a doubled letter
+        return a[i : i + k] == b[i : i + k][::-1] and a[i + k :] == b[i + k :]
     if abs(len(a) - len(b)) > 1:
         return False
     long, short = (a, b) if len(a) > len(b) else (b, a)
@@ -219,9 +222,9 @@ def same_house(a: tuple[str, str, list[str]], b: tuple[str, str, list[str]]) ->
     return 0.0 if slips > 1 else best / len(wa) - 0.01 * ((ka != kb) + (sa != sb))
 
 
-#: Width of the q-grams, and the similarity from which the wanted share of pairs must meet in a band.
-Q, LEAST_JACCARD, RECALL = 3, 0.35, 0.97
-#: Rows of a band; words of a band above which they meet by deletions instead of pair by pair.
+#: Width of the q-grams, and the similarity from which the wanted share of pairs must meet in a band: that of one slip in a word of 8 letters.
+Q, LEAST_JACCARD, RECALL = 3, 0.5, 0.97
+#: Rows of a band; words above which a band is left to the deletion neighbourhoods.
 BAND_ROWS, CROWDED = 3, 256
 
 
@@ -277,7 +280,7 @@ def forms(names: DataFrame) -> DataFrame:
     turned = F.col("_pl") > F.col("_pf")
     pending = pending.withColumns({
         "family": F.when(turned, F.array("_f")).otherwise(F.col("family")),
-        "given": F.when(turned, F.concat(F.array("_l"), F.slice("given", 2, 99))).otherwise(F.col("given")),
+        "given": F.when(turned, F.concat(F.array("_l"), F.slice("given", F.lit(2), F.size("given")))).otherwise(F.col("given")),
     })
     cols = ["field_name", "name", "n", "kind", "subject", "given", "family"]
     both = x.where("_f is null").select(cols).unionByName(pending.select(cols))
@@ -285,21 +288,65 @@ def forms(names: DataFrame) -> DataFrame:
     return stored(both.where("size(family) > 0").withColumn("form", form), "forms")
 
 
+_M, _B = (1 << 61) - 1, 1_000_003
+
+
+def deletion_keys(word: str) -> set[int]:
+    """Hashes of a word and of all forms of it with one letter left out; two words one slip apart share one."""
+    n = len(word)
+    before, after, power = [0] * (n + 1), [0] * (n + 1), 1
+    for i, ch in enumerate(word):
+        before[i + 1] = (before[i] * _B + ord(ch) + 1) % _M
+    found = {before[n]}
+    for i in range(n - 1, -1, -1):  # before[i] shifted by the letters after i, and those
+        found.add((before[i] * power + after[i + 1]) % _M)
+        after[i] = (after[i + 1] + (ord(word[i]) + 1) * power) % _M
+        power = power * _B % _M
+    return found
+
+
+def _hash(s: str) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=7).digest())
+
+
+def _neighbourhoods(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every word under its deletion keys; the words of a house under those of each word, beside the sum of the others."""
+    for b in batches:
+        rows = []
+        for field, word in zip(b.field_name, b.word, strict=True):
+            parts = word.split(" ") if field == "publisher" else [word]
+            whole = sum(map(_hash, parts)) if len(parts) > 1 else 0
+            for w in set(parts):
+                rest = (whole - _hash(w)) * _B + len(parts) if len(parts) > 1 else 0
+                rows += [(field, word, (k + rest) % _M) for k in deletion_keys(w)]
+        yield pd.DataFrame(rows, columns=["field_name", "word", "rest"])
+
+
+def given_keys(first: str) -> list[tuple[str, bool, bool]]:
+    """(key, leads, exact) under which a given name meets its variants.
+
+    Two names meet if they share a key and at least one of them leads by it.  Initials lead by their letter, which full names only follow.
+    The keys that are not exact are the deletion neighbourhood, for names that differ by a slip.
+    """
+    parts = [p for p in first.split("-") if p]
+    names = {first, _plain(first), *FORMAL.get(first, ())} | {p for p in parts if len(p) > 1}
+    initial = all(len(p) == 1 for p in parts)
+    letters = {first[0], *(f[0] for f in FORMAL.get(first, ())), *(p[0] for p in parts)}
+    keys = [(f"={x}", True, True) for x in names if len(x) > 1] + [(x, initial, True) for x in letters]
+    return keys + [(f"~{k}", True, False) for x in {first, _plain(first)} if len(x) > 2 for k in deletion_keys(x)]
+
+
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words under which a form may meet its variants, with the letters its given name may begin with."""
+    """Words under which a form may meet its variants, with the keys of its given name."""
     for b in batches:
         rows = []
         for form, field, given, family in zip(b.form, b.field_name, b.given, b.family, strict=True):
             if field == "publisher":
-                rows += [(form, field, w, "") for w in {*family}]
-                continue
-            if not len(given):
-                continue
-            first = given[0]
-            letters = {first[0], *first[1:2], *(f[0] for f in FORMAL.get(first, ())), *(p[0] for p in first.split("-") if p)}
-            word = "".join(w for w in family if w not in PARTICLES)
-            rows += [(form, field, word, x) for x in letters]
-        yield pd.DataFrame(rows, columns=["form", "field_name", "word", "letter"])
+                rows.append((form, field, " ".join(sorted(family)), "", True, True))
+            elif len(given):
+                word = "".join(w for w in family if w not in PARTICLES)
+                rows += [(form, field, w, *k) for w in {word, _plain(word)} for k in given_keys(given[0])]
+        yield pd.DataFrame(rows, columns=["form", "field_name", "word", "key", "leads", "exact"])
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,28 +355,23 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(bands=[signature(w, n) for w in b.word])
 
 
-def _deleted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _near_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of family names that lie one slip apart; words of houses are compared with their forms."""
     for b in batches:
-        rows = [(f, w, x, s, d) for f, w, x, s in zip(b.field_name, b.word, b.letter, b.spot, strict=True) for d in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}]
-        yield pd.DataFrame(rows, columns=["field_name", "word", "letter", "spot", "rest"])
-
-
-def word_pairs(keys: DataFrame) -> DataFrame:
-    """(field_name, letter, a, b): different words, a < b, that share a band and lie within the distance of one slip."""
-    words = keys.select("field_name", "letter", "word").distinct()
-    signed = words.select("field_name", "word").distinct().mapInPandas(_sign, "field_name string, word string, bands array<bigint>")
-    spots = words.join(signed, ["field_name", "word"]).select("field_name", "letter", "word", F.posexplode("bands").alias("band", "h"))
-    spots = stored(spots.select("field_name", "letter", "word", F.xxhash64("field_name", "letter", "band", "h").alias("spot")), "spots")
-    crowd = spots.groupBy("spot").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    few, many = crowd.where(f"c <= {CROWDED}").select("spot"), crowd.where(f"c > {CROWDED}").select("spot")
-    close = (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein(F.col("a"), F.col("b"), 2) >= 0)
-    side = lambda df, c, on: df.select("field_name", "letter", *on, F.col("word").alias(c))
-    x = spots.join(few, "spot", "left_semi")
-    plain = side(x, "a", ["spot"]).join(side(x, "b", ["spot"]), ["field_name", "letter", "spot"]).where("a < b").where(close).select("field_name", "letter", "a", "b")
-    y = spots.join(many, "spot", "left_semi").mapInPandas(_deleted, "field_name string, word string, letter string, spot bigint, rest string")
-    y = y.select("field_name", "letter", "word", "rest").distinct()
-    crowded = side(y, "a", ["rest"]).join(side(y, "b", ["rest"]), ["field_name", "letter", "rest"]).where("a < b").where(close).select("field_name", "letter", "a", "b")
-    return plain.unionByName(crowded).distinct()
+        yield b[[f == "publisher" or slip(x, y) for f, x, y in zip(b.field_name, b.a, b.b, strict=True)]]
+
+
+def word_pairs(words: DataFrame) -> DataFrame:
+    """(field_name, a, b): different words (field_name, word), a < b, that share a band or a deletion key and may be one slip apart."""
+    words = words.select("field_name", "word").distinct()
+    signed = words.mapInPandas(_sign, "field_name string, word string, bands array<bigint>").select("field_name", "word", F.posexplode("bands").alias("band", "h"))
+    spots = stored(signed.select("field_name", "word", F.xxhash64("band", "h").alias("rest")), "spots")
+    shared = spots.groupBy("field_name", "rest").agg(F.count(F.lit(1)).alias("c")).where(f"c between 2 and {CROWDED}").select("field_name", "rest")
+    forms_ = stored(words.mapInPandas(_neighbourhoods, "field_name string, word string, rest bigint"), "deletions")
+    side = lambda df, c: df.select("field_name", "rest", F.col("word").alias(c))
+    pairs = [side(x, "a").join(side(x, "b"), ["field_name", "rest"]).where("a < b").select("field_name", "a", "b") for x in (spots.join(shared, ["field_name", "rest"], "left_semi"), forms_)]
+    near = (F.col("field_name") == "publisher") | (F.levenshtein(F.col("a"), F.col("b"), 2) >= 0)
+    return pairs[0].unionByName(pairs[1]).where(near).distinct().mapInPandas(_near_words, "field_name string, a string, b string")
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -347,11 +389,14 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(spellings: DataFrame) -> DataFrame:
     """(form_a, form_b, sim) of verified forms, form_a < form_b."""
     each = spellings.groupBy("form").agg(*[F.first(c).alias(c) for c in ("field_name", "kind", "subject", "given", "family")])
-    keys = stored(each.select("form", "field_name", "given", "family").mapInPandas(_keys, "form string, field_name string, word string, letter string"), "keys")
-    pairs = word_pairs(keys)
-    same = keys.select("field_name", "letter", F.col("word").alias("a"), F.col("word").alias("b")).distinct()
-    k = lambda c: keys.select("field_name", "letter", F.col("form").alias(f"form_{c}"), F.col("word").alias(c))
-    cand = pairs.unionByName(same).join(k("a"), ["field_name", "letter", "a"]).join(k("b"), ["field_name", "letter", "b"])
+    keys = stored(each.select("form", "field_name", "given", "family").mapInPandas(_keys, "form string, field_name string, word string, key string, leads boolean, exact boolean"), "keys")
+    pairs = stored(word_pairs(keys.select("field_name", "word")), "words")
+    pairs = pairs.unionByName(pairs.select("field_name", F.col("b").alias("a"), F.col("a").alias("b")))
+    leading, all_ = keys.where("leads").select("field_name", "word", "key", F.col("form").alias("form_a")), keys.select("field_name", "word", "key", F.col("form").alias("form_b"))
+    same = leading.join(all_, ["field_name", "word", "key"])
+    to = keys.where("exact").select("field_name", F.col("word").alias("b"), "key", F.col("form").alias("form_b"))
+    slipped = keys.where("leads and exact").select("field_name", F.col("word").alias("a"), "key", F.col("form").alias("form_a")).join(pairs, ["field_name", "a"]).join(to, ["field_name", "b", "key"])
+    cand = same.select("form_a", "form_b").unionByName(slipped.select("form_a", "form_b"))
     cand = cand.where("form_a <> form_b").select(F.least("form_a", "form_b").alias("form_a"), F.greatest("form_a", "form_b").alias("form_b")).distinct()
     part = lambda c: each.select(F.col("form").alias(f"form_{c}"), *([F.col("field_name")] if c == "a" else []), *[F.col(x).alias(f"{x}_{c}") for x in ("kind", "subject", "given", "family")])
     return cand.join(part("a"), "form_a").join(part("b"), "form_b").mapInPandas(_verify, "form_a string, form_b string, sim double")
@@ -369,16 +414,20 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ranked = nodes.join(degree, "form").select("form", "weight", F.struct("fullness", F.round("degree", 6).alias("degree"), "weight", "form").alias("rank"))
     r = lambda c: ranked.select(F.col("form").alias(c), F.col("rank").alias(f"r{c}"), F.col("weight").alias(f"w{c}"))
     graph = stored(both.join(r("u"), "u").join(r("v"), "v"), "star")
-    opened, centers = ranked.select("form"), None
-    while True:
-        live = graph.join(opened.select(F.col("form").alias("u")), "u", "left_semi").join(opened.select(F.col("form").alias("v")), "v", "left_semi")
-        beaten = live.groupBy("u").agg(F.max("rv").alias("top"), F.max("ru").alias("own")).where("top > own").select(F.col("u").alias("form"))
-        new = stored(opened.join(beaten, "form", "left_anti"), "centers")
-        centers = new if centers is None else centers.unionByName(new)
-        closed = graph.join(new.select(F.col("form").alias("v")), "v", "left_semi").select(F.col("u").alias("form"))
-        opened = stored(opened.join(new, "form", "left_anti").join(closed, "form", "left_anti"), "open")
-        if opened.isEmpty():
+    live, centers = graph.select("u", "v", "ru", "rv"), None
+    while True:  # the graph of open forms shrinks from round to round
+        new = stored(live.groupBy(F.col("u").alias("form")).agg(F.max("rv").alias("top"), F.max("ru").alias("own")).where("own > top").select("form"), "centers")
+        closed = live.join(new.select(F.col("form").alias("v")), "v", "left_semi").select(F.col("u").alias("form"))
+        gone = stored(new.unionByName(closed).distinct(), "gone")
+        left = live.join(gone.select(F.col("form").alias("u")), "u", "left_anti")
+        rest = stored(left.join(gone.select(F.col("form").alias("v")), "v", "left_anti"), "live")
+        alone = left.select(F.col("u").alias("form")).distinct().join(rest.select(F.col("u").alias("form")), "form", "left_anti")  # all its neighbours are closed
+        for found in (new, alone):
+            centers = found if centers is None else centers.unionByName(found)
+        live = rest
+        if live.isEmpty():
             break
+    centers = stored(centers, "all_centers")
     to = graph.join(centers.select(F.col("form").alias("v")), "v", "left_semi").join(centers.select(F.col("form").alias("u")), "u", "left_anti")
     best = to.groupBy(F.col("u").alias("form")).agg(F.max_by("v", F.struct(F.round("sim", 3), "wv", "v")).alias("center"))
     return best.unionByName(centers.select("form", F.col("form").alias("center")))
