@@ -60,6 +60,15 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the application ends."""
+    try:
+        p, fs = _path(spark, path)
+        fs.deleteOnExit(p)
+    except AttributeError:
+        pass  # a remote session has no JVM handle
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back.
 
@@ -69,11 +78,7 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quirelight/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*(partition_by or [])).parquet(path)
-    try:  # the table lasts as long as the application
-        p, fs = _path(spark, path)
-        fs.deleteOnExit(p)
-    except AttributeError:
-        pass  # a remote session has no JVM handle
+    delete_at_end(spark, path)  # the table lasts as long as the application
     return spark.read.schema(df.schema).parquet(path)
 
 
