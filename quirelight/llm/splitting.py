@@ -1,23 +1,27 @@
 """Cutting items over a size limit at natural boundaries, with a fixed overlap between pieces.
 
-Workers look at ranges of an item with a halo on both sides and list the boundaries in them; the ranges' tables, in order,
-are folded into pieces by a pass that keeps one piece's boundaries in memory; pieces are then cut out by offset.  What a boundary is
-depends on no more text than the halo, so the pieces do not depend on where ranges begin.  An item of a single range needs no
-stitching and is cut within its row.  ``split_files`` does the same over byte ranges of files, whose character offsets come
-from prefix sums, and never loads a file whole.
+Every item over its limit goes one way.  Workers look at ranges of it with a halo on both sides and list the boundaries in them; the ranges'
+tables, in order, are stitched by a fold that sums up the ranges' lengths, keeps one piece's boundaries in memory and says which pieces begin
+in which range; each range then cuts out its own pieces by offset.  What a boundary is depends on no more text than the halo, so
+the pieces do not depend on where ranges begin.  ``split_texts`` does it over ranges of texts in rows, ``split_files`` over byte ranges of files,
+which are never loaded whole.  No step holds more of an item than a range and a piece, and no row more of its pieces than begin in one range.
 
 Places, strongest first: blank line, line end, sentence end, clause end, white space, a separator inside an unspaced
 stretch; a stretch without any is cut at the limit, but not inside a combined character.  A piece takes the last of the
 strongest places in its second half, else the last place before.  Sizes are code points.
 
 Defined results: null text gives no piece, the empty text none either; a text within the limit is one piece; an
-overlap that is not smaller than the size counts as a third of the size, rounded down; null or non-positive sizes give no piece.
+overlap that is not smaller than the size counts as a third of the size, rounded down; null or non-positive sizes give no piece; a
+repeated row gives its pieces again.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections import deque
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,9 +29,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of a range, and the halo on each side.
-RANGE_CHARS, HALO = 1 << 20, 256
-RANGE_BYTES = 4 << 20
+#: Characters of a range of a text, bytes of a range of a file, and characters of the halo on each side.
+RANGE_CHARS, RANGE_BYTES, HALO = 1 << 13, 4 << 20, 256
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, BLANK, SEPARATOR, UNSAFE = 6, 5, 4, 3, 2, 1, -1
 _PLACE = regex.compile(r"\s+|[。！？](?=[^\s。！？」』）])|[、，；：](?=\S)|(?<=[\w\p{P}\p{S}])[-/?&=_.,;:+](?=\w)")
@@ -56,19 +59,15 @@ def _level(text: str, pos: int, first: int) -> int:
     return CLAUSE if body[-1:] in (",", ";", ":") else BLANK
 
 
-def places(window: str, begin: int, end: int, weigh: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Places p with begin < p <= end of a window, and their strengths; places no cut may be made at have -1.
-
-    Without ``weigh`` all other strengths are 0, to be looked up where they matter.
-    """
+def places(window: str, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places p with begin < p <= end of a window, and their strengths; places no cut may be made at have -1."""
     found = {m.start(): UNSAFE for m in _UNSAFE.finditer(window, max(0, begin - 1)) if begin < m.start() <= end} if not window.isascii() or "\r" in window else {}
-    last = max(0, begin - 1)
-    for m in _PLACE.finditer(window, last):
-        p = m.end()
+    for m in _PLACE.finditer(window, max(0, begin - 1)):
+        a, p = m.span()
         if p > end:
             break
-        if p > begin and p not in found:
-            found[p] = _level(window, p, 0) if weigh else 0
+        if p > begin and p not in found:  # a single blank after a letter or digit is the common case
+            found[p] = BLANK if a and p - a == 1 and window[a] == " " and window[a - 1].isalnum() else _level(window, p, 0)
     at = np.array(sorted(found), dtype=np.int64)
     return at, np.array([found[p] for p in at.tolist()], dtype=np.int8)
 
@@ -91,8 +90,7 @@ def effective_overlap(size: int, overlap: int | None) -> int:
 class Folder:
     """Turns an item's places, fed in order, into pieces; holds no more places than one piece needs."""
 
-    def __init__(self, size: int, overlap: int | None, level: Callable[[int], int] | None = None):
-        self.level = level  # strength of a place that was fed without
+    def __init__(self, size: int, overlap: int | None):
         self.size, self.overlap = int(size), effective_overlap(int(size), overlap)
         self.start, self.done = 0, False
         self.at, self.levels = np.zeros(0, np.int64), np.zeros(0, np.int8)
@@ -124,8 +122,6 @@ class Folder:
             best, where = 0, -1
             for k in range(b - 1, a - 1, -1):
                 strength = int(self.levels[k])
-                if strength == 0 and self.level is not None:
-                    strength = self.levels[k] = self.level(int(self.at[k]))
                 if strength > best:
                     best, where = strength, int(self.at[k])
                     if best == PARAGRAPH:
@@ -136,111 +132,130 @@ class Folder:
         return next((p for p in range(hi, middle - 1, -1) if p not in unsafe), hi)
 
 
-def cuts(text: str, size: int, overlap: int | None, range_chars: int = RANGE_CHARS) -> tuple[list[int], list[int], int]:
-    """Starts and ends of the pieces of one text, and its longest unspaced stretch; by ranges as the distributed form does it."""
-    fold, pieces = Folder(size, overlap, lambda p: _level(text, p, 0)), []
-    for s in range(0, len(text), range_chars):
-        w0, e = max(0, s - HALO), min(len(text), s + range_chars)
-        at, levels = places(text[w0 : e + HALO], s - w0, e - w0, weigh=False)
-        pieces += fold.feed(at + w0, levels, e, runs(text[s:e]), e - s)
-    pieces += fold.end(len(text))
-    return [a for a, _ in pieces], [b for _, b in pieces], max(fold.longest, fold.run)
+_TABLE = "key string, range_no bigint, size int, overlap int, last boolean, places binary, levels binary, head int, most int, tail int, length int"
+_FOLDED = "key string, copies bigint, range_no bigint, range_begin bigint, first_no bigint, starts array<bigint>, ends array<bigint>, longest_run bigint"
+#: Rows of ranges handed over at a time.
+BATCH = 512
 
 
-_CUTS = "struct<starts array<int>, ends array<int>, longest_run int>"
-_TABLE = "key binary, range_no bigint, size int, overlap int, n_chars bigint, known bigint, places array<bigint>, levels array<tinyint>, head int, most int, tail int, length int"
-_PIECES = "key binary, starts array<bigint>, ends array<bigint>, longest_run bigint, last boolean"
+def _rows(columns: str, rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    names, held = [c.split()[0] for c in columns.split(", ")], []
+    for r in rows:
+        held.append(r)
+        if len(held) >= BATCH:
+            yield pd.DataFrame(held, columns=names)
+            held = []
+    yield pd.DataFrame(held, columns=names)
 
 
-def _row_cuts() -> Callable[..., Column]:
-    @F.pandas_udf(_CUTS)
-    def each(texts: pd.Series, sizes: pd.Series, overlaps: pd.Series) -> pd.DataFrame:
-        got = [([], [], 0) if t is None else cuts(t, int(s), None if pd.isna(o) else int(o)) for t, s, o in zip(texts, sizes, overlaps, strict=True)]
-        return pd.DataFrame({"starts": [g[0] for g in got], "ends": [g[1] for g in got], "longest_run": [g[2] for g in got]})
+def _table(key: str, range_no: int, size: int, overlap: int | None, last: bool, pre: str, body: str, post: str) -> tuple:
+    """Boundary table of one range between its halos; places are relative to its begin."""
+    at, levels = places(pre + body + post, len(pre), len(pre) + len(body))
+    return key, range_no, size, overlap, last, (at - len(pre)).astype(np.int32).tobytes(), levels.tobytes(), *runs(body), len(body)
 
-    return each
 
+def fold_tables(tables: DataFrame) -> DataFrame:
+    """Pieces of every item, grouped by the range they begin in.
 
-def _tabulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Boundary table of each range."""
-    for b in batches:
-        rows = []
-        for r in b.itertuples(index=False):
-            begin, end = int(r.begin), int(r.begin) + int(r.length)
-            at, levels = places(r.window, begin, end)
-            rows.append((r.key, r.range_no, r.size, r.overlap, r.n_chars, r.offset + r.length, at - begin + r.offset, levels, *runs(r.window[begin:end]), r.length))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _TABLE.split(", ")])
+    Only boundary tables are shuffled; those of an item come in order to a fold whose whole state is the begin of the open piece.
+    """
 
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _rows(_FOLDED, folded(batches))
 
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pieces of each item whose ranges come in order; one row of pieces a range."""
-    key, fold = None, None
-    for b in batches:
-        rows = []
-        for r in b.itertuples(index=False):
-            if r.key != key:
-                key, fold = r.key, Folder(r.size, None if pd.isna(r.overlap) else r.overlap)
-            pieces = list(fold.feed(np.asarray(r.places, np.int64), np.asarray(r.levels, np.int8), r.known, (r.head, r.most, r.tail), r.length))
-            last = r.known >= r.n_chars
-            pieces += fold.end(r.n_chars) if last else ()
-            rows.append((r.key, [p[0] for p in pieces], [p[1] for p in pieces], max(fold.longest, fold.run), last))
-        yield pd.DataFrame(rows, columns=["key", "starts", "ends", "longest_run", "last"])
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        key = None
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if r.key != key:
+                    key, known, folder, begins, number = r.key, 0, Folder(r.size, None if pd.isna(r.overlap) else r.overlap), deque(), 0
+                begins.append((known, r.range_no))
+                at = np.frombuffer(r.places, np.int32).astype(np.int64) + known
+                known += r.length
+                pieces = list(folder.feed(at, np.frombuffer(r.levels, np.int8), known, (r.head, r.most, r.tail), r.length))
+                pieces += folder.end(known) if r.last else ()
+                while pieces:
+                    while len(begins) > 1 and begins[1][0] <= pieces[0][0]:
+                        begins.popleft()
+                    n = next((i for i, p in enumerate(pieces) if len(begins) > 1 and p[0] >= begins[1][0]), len(pieces))
+                    yield key, r.copies, begins[0][1], begins[0][0], number, [p[0] for p in pieces[:n]], [p[1] for p in pieces[:n]], max(folder.longest, folder.run)
+                    number, pieces = number + n, pieces[n:]
 
+    each = [F.first(c).alias(c) for c in ("size", "overlap", "last", "places", "levels", "head", "most", "tail", "length")]
+    once = tables.repartition("key").groupBy("key", "range_no").agg(*each, F.count(F.lit(1)).alias("copies"))
+    return once.sortWithinPartitions("key", "range_no").mapInPandas(fold, _FOLDED)
 
-def boundary_pieces(items: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
-    """Pieces of items of several ranges; ``items`` has key binary, text, size, overlap.
 
-    Only boundary tables are shuffled, and sorted by range; a fold over them holds one range at a time.
-    """
-    n = F.length("text")
-    ranges = items.select("key", "size", "overlap", n.cast("bigint").alias("n_chars"), "text", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / range_chars).cast("bigint"))).alias("range_no"))
-    offset = F.col("range_no") * range_chars
-    first = F.greatest(offset - HALO, F.lit(0))
-    windows = ranges.select(
-        "key", "range_no", "size", "overlap", "n_chars", offset.alias("offset"), (offset - first).cast("int").alias("begin"),
-        F.least(F.lit(range_chars), F.col("n_chars") - offset).cast("int").alias("length"), F.substring("text", (first + 1).cast("int"), F.lit(range_chars + 2 * HALO)).alias("window"),
-    )
-    tables = windows.mapInPandas(_tabulate, _TABLE)
-    return tables.repartition("key").sortWithinPartitions("key", "range_no").mapInPandas(_fold, _PIECES)
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
-def split_plan(df: DataFrame, key: str, text: str, size: Column, overlap: Column, range_chars: int = RANGE_CHARS) -> DataFrame:
-    """One row per item with text: all of ``df``'s columns, ``_pieces`` (array of begin, end), ``_longest_run`` and ``_oversized``.
+def _items(df: DataFrame, key: str, text: str, size: Column, overlap: Column) -> DataFrame:
+    """(id, key, text, size, overlap) of the rows that have pieces; ``key`` tells rows apart that differ."""
+    x = df.select(F.col(key).alias("id"), F.col(text).alias("text"), size.cast("int").alias("size"), overlap.cast("int").alias("overlap")).where((F.length("text") > 0) & (F.col("size") > 0))
+    return x.withColumn("key", F.to_json(F.struct(F.col("id").alias("k"), F.md5(F.col("text").cast("binary")).alias("t"), "size", "overlap"), _JSON))
 
-    Other columns pass through under any name; columns of those three names are replaced.
 
-    ``key`` names a unique column; it is used only to bring the pieces of items of many ranges back to their texts.
-    """
-    out = ("_pieces", "_longest_run", "_oversized")
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in out]).alias("_row")
-    x = df.select(row, F.col(key).alias("_id"), F.col(text).alias("_t"), F.length(F.col(text)).alias("_n"), size.cast("int").alias("_size"), overlap.cast("int").alias("_overlap")).where((F.col("_n") > 0) & (F.col("_size") > 0))
-    pair = lambda a, b: F.struct(a.cast("bigint").alias("begin"), b.cast("bigint").alias("end"))
-    zipped = lambda a, b: F.zip_with(a, b, lambda p, q: pair(p, q))
-    done = lambda pieces, longest, over: ["_row.*", pieces.alias(out[0]), longest.cast("bigint").alias(out[1]), over.alias(out[2])]
-    # one pass over all but the giant texts; those within the limit go to Python as nulls
-    over = F.col("_n") > F.col("_size")
-    near = x.where(f"_n <= greatest(_size, {range_chars})").withColumn("_c", _row_cuts()(F.when(over, F.col("_t")), F.col("_size"), F.col("_overlap")))
-    whole = F.array(pair(F.lit(0), F.col("_n")))
-    near = near.select(*done(F.when(over, zipped(F.col("_c.starts"), F.col("_c.ends"))).otherwise(whole), F.col("_c.longest_run"), over))
-    giant = x.where(f"_n > _size and _n > {range_chars}").withColumn("_key", F.unhex(F.md5(F.to_json(F.struct(F.col("_id").alias("k"))))))
-    parts = boundary_pieces(giant.select(F.col("_key").alias("key"), F.col("_t").alias("text"), F.col("_size").alias("size"), F.col("_overlap").alias("overlap")), range_chars)
-    folded = parts.groupBy(F.col("key").alias("_key")).agg(F.array_sort(F.flatten(F.collect_list(zipped(F.col("starts"), F.col("ends"))))).alias("_p"), F.max("longest_run").alias("_l"))
-    giant = giant.join(folded, "_key").select(*done(F.col("_p"), F.col("_l"), F.lit(True)))
-    return near.unionByName(giant)
+def _id_of(items: DataFrame) -> Column:
+    return F.from_json("key", f"k {items.schema['id'].dataType.simpleString()}", _JSON)["k"].alias("id")
+
+
+def range_tables(items: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
+    """Boundary tables of all ranges of (key, text, size, overlap); narrow."""
+
+    def tabulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _rows(_TABLE, (
+            _table(r.key, s // range_chars, r.size, r.overlap, s + range_chars >= len(r.text), r.text[max(0, s - HALO) : s], r.text[s : s + range_chars], r.text[s + range_chars : s + range_chars + HALO])
+            for b in batches for r in b.itertuples(index=False) for s in range(0, len(r.text), range_chars)
+        ))
+
+    return items.select("key", "text", "size", "overlap").mapInPandas(tabulate, _TABLE)
+
+
+def split_summary(df: DataFrame, key: str, text: str, size: Column, overlap: Column, range_chars: int = RANGE_CHARS) -> DataFrame:
+    """(id, size, n_pieces, longest_run) of the items over their limit; the longest stretch is one without white space."""
+    items = _items(df, key, text, size, overlap).where(F.length("text") > F.col("size"))
+    parts = fold_tables(range_tables(items, range_chars)).groupBy("key").agg(F.sum(F.size("starts")).alias("n_pieces"), F.max("longest_run").alias("longest_run"))
+    return parts.select(_id_of(items), F.get_json_object("key", "$.size").cast("int").alias("size"), "n_pieces", "longest_run")
 
 
 def split_texts(df: DataFrame, key: str, text: str, size: Column, overlap: Column, range_chars: int = RANGE_CHARS) -> DataFrame:
     """(key, piece_no, begin, end, piece): the pieces of every item, cut out by offset."""
-    x = split_plan(df.select(F.col(key), F.col(text), size.alias("_cs"), overlap.alias("_co")), key, text, F.col("_cs"), F.col("_co"), range_chars)
-    each = x.select(key, text, F.posexplode("_pieces").alias("piece_no", "p"))
-    return each.select(key, "piece_no", F.col("p.begin").alias("begin"), F.col("p.end").alias("end"), F.substring(F.col(text), (F.col("p.begin") + 1).cast("int"), (F.col("p.end") - F.col("p.begin")).cast("int")).alias("piece"))
+    items = _items(df, key, text, size, overlap)
+    within = items.where(F.length("text") <= F.col("size")).select("id", F.lit(0).cast("bigint").alias("piece_no"), F.lit(0).cast("bigint").alias("begin"), F.length("text").cast("bigint").alias("end"), F.col("text").alias("piece"))
+    over = items.where(F.length("text") > F.col("size"))
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each range with as much text after it as a piece that begins in it may need."""
+        return _rows("key, range_no, window", ((r.key, s // range_chars, r.text[s : s + range_chars + r.size]) for b in batches for r in b.itertuples(index=False) for s in range(0, len(r.text), range_chars)))
+
+    folded = fold_tables(range_tables(over, range_chars))
+    seen = over.select("key", "text", "size").mapInPandas(windows, "key string, range_no bigint, window string").groupBy("key", "range_no").agg(F.first("window").alias("window"))
+    x = folded.join(seen, ["key", "range_no"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    x = x.select("key", "range_begin", "first_no", "window", F.posexplode(F.arrays_zip("starts", "ends")).alias("i", "p"))
+    begin, end = F.col("p.starts"), F.col("p.ends")
+    piece = F.substring("window", (begin - F.col("range_begin") + 1).cast("int"), (end - begin).cast("int"))
+    cut = x.select(_id_of(items), (F.col("first_no") + F.col("i")).alias("piece_no"), begin.alias("begin"), end.alias("end"), piece.alias("piece"))
+    return within.unionByName(cut).withColumnRenamed("id", key)
+
+
+def cuts(text: str, size: int, overlap: int | None) -> tuple[list[int], list[int], int]:
+    """Starts and ends of the pieces of one text in memory, and its longest unspaced stretch; what the distributed forms must equal."""
+    fold = Folder(size, overlap)
+    pieces = [*fold.feed(*places(text, 0, len(text)), len(text), runs(text), len(text)), *fold.end(len(text))]
+    return [a for a, _ in pieces], [b for _, b in pieces], max(fold.longest, fold.run)
+
+
+@cache
+def _opened(path: str):
+    import pyarrow.fs
+
+    system, name = pyarrow.fs.FileSystem.from_uri(re.sub(r"^(\w+):/(?!/)", r"\1:///", path if ":" in path else f"file://{os.path.abspath(path)}"))
+    return system.open_input_file(name)
 
 
 def read_at(path: str, offset: int, length: int) -> bytes:
-    """Bytes of a file in a folder that all workers mount."""
-    with open(path, "rb") as f:
-        f.seek(offset)
-        return f.read(length)
+    """Bytes of a file in a folder that all workers reach."""
+    return _opened(path).read_at(length, offset)
 
 
 def _whole_chars(raw: bytes, begin: int, end: int) -> tuple[str, str, str]:
@@ -250,59 +265,45 @@ def _whole_chars(raw: bytes, begin: int, end: int) -> tuple[str, str, str]:
     return raw[a:b].decode("utf-8", "replace"), raw[b:c].decode("utf-8", "replace"), raw[c:].decode("utf-8", "ignore")
 
 
-def split_files(spark: SparkSession, files: dict[str, int] | list[str], size: int, overlap: int, range_bytes: int = RANGE_BYTES, read: Callable[[str, int, int], bytes] = read_at) -> DataFrame:
-    """(path, piece_no, begin, end, piece) of UTF-8 files that no worker could hold.
+def files_of(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, n_bytes) of all files under a folder; their contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("n_bytes"))
+
+
+def split_files(files: DataFrame, range_bytes: int = RANGE_BYTES, read: Callable[[str, int, int], bytes] = read_at) -> DataFrame:
+    """(path, piece_no, begin, end, piece) of UTF-8 files that no worker could hold; ``files`` has path, n_bytes, size, overlap.
 
     Ranges are spread over the cluster; a first pass lists each range's boundaries and its number of characters, the fold turns
     the numbers into offsets by a running sum, and a last pass reads each range once more to emit the pieces that begin in it.
     """
-    sizes = {p: os.path.getsize(p) for p in files} if isinstance(files, list) else files
-    listed = spark.createDataFrame([(p, int(n)) for p, n in sizes.items()], "path string, n_bytes bigint").where("n_bytes > 0")
-    step = F.lit(int(range_bytes))
-    ranges = listed.select("path", "n_bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_bytes") - 1) / step).cast("bigint"))).alias("range_no")).repartition("path", "range_no")
+    listed = files.select("path", "n_bytes", F.col("size").cast("int").alias("size"), F.col("overlap").cast("int").alias("overlap")).where("n_bytes > 0 and size > 0")
+    last_no = F.floor((F.col("n_bytes") - 1) / F.lit(int(range_bytes))).cast("bigint")
+    ranges = listed.withColumn("range_no", F.explode(F.sequence(F.lit(0).cast("bigint"), last_no))).repartition("path", "range_no")
     halo = HALO * 4
 
-    def tabulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                s, e = r.range_no * range_bytes, min(r.n_bytes, (r.range_no + 1) * range_bytes)
-                w0 = max(0, s - halo)
-                pre, body, post = _whole_chars(read(r.path, w0, e - w0 + halo), s - w0, e - w0)
-                pre, post = pre[-HALO:], post[:HALO]
-                at, levels = places(pre + body + post, len(pre), len(pre) + len(body))
-                yield pd.DataFrame([(r.path, r.range_no, r.n_bytes, e >= r.n_bytes, at - len(pre), levels, *runs(body), len(body))], columns=["path", "range_no", "n_bytes", "last", "places", "levels", "head", "most", "tail", "length"])
+    def table(r) -> tuple:
+        s, e = r.range_no * range_bytes, min(r.n_bytes, (r.range_no + 1) * range_bytes)
+        w0 = max(0, s - halo)
+        pre, body, post = _whole_chars(read(r.path, w0, e - w0 + halo), s - w0, e - w0)
+        return _table(r.path, r.range_no, r.size, r.overlap, e >= r.n_bytes, pre[-HALO:], body, post[:HALO])
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, known, folder, starts, piece_no = None, 0, None, [], 0
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                if r.path != path:
-                    path, known, folder, starts, piece_no = r.path, 0, Folder(size, overlap), [], 0
-                starts.append((known, r.range_no))
-                at = np.asarray(r.places, np.int64) + known
-                known += r.length
-                pieces = list(folder.feed(at, np.asarray(r.levels, np.int8), known, (r.head, r.most, r.tail), r.length))
-                pieces += folder.end(known) if r.last else ()
-                for a, z in pieces:
-                    while len(starts) > 1 and starts[1][0] <= a:
-                        starts.pop(0)
-                    rows.append((path, piece_no, a, z, starts[0][1], starts[0][0], r.n_bytes))
-                    piece_no += 1
-            yield pd.DataFrame(rows, columns=["path", "piece_no", "begin", "end", "range_no", "range_begin", "n_bytes"])
+    def tabulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _rows(_TABLE, (table(r) for b in batches for r in b.itertuples(index=False)))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _rows("path, piece_no, begin, end, piece", emitted(batches))
+
+    def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         have, text = None, ""
         for b in batches:
-            out = []
             for r in b.itertuples(index=False):
                 s = r.range_no * range_bytes
                 if have != (r.path, r.range_no):
-                    _, body, post = _whole_chars(read(r.path, s, min(r.n_bytes - s, range_bytes + 4 * size + 4)), 0, range_bytes)
+                    _, body, post = _whole_chars(read(r.path, s, min(r.n_bytes - s, range_bytes + 4 * r.size + 4)), 0, range_bytes)
                     have, text = (r.path, r.range_no), body + post
-                out.append((r.path, r.piece_no, r.begin, r.end, text[r.begin - r.range_begin : r.end - r.range_begin]))
-            yield pd.DataFrame(out, columns=["path", "piece_no", "begin", "end", "piece"])
+                for i, (a, z) in enumerate(zip(r.starts, r.ends, strict=True)):
+                    yield r.path, r.first_no + i, a, z, text[a - r.range_begin : z - r.range_begin]
 
-    tables = ranges.mapInPandas(tabulate, "path string, range_no bigint, n_bytes bigint, last boolean, places array<bigint>, levels array<tinyint>, head int, most int, tail int, length int")
-    pieces = tables.repartition("path").sortWithinPartitions("path", "range_no").mapInPandas(fold, "path string, piece_no bigint, begin bigint, end bigint, range_no bigint, range_begin bigint, n_bytes bigint")
-    return pieces.repartition("path", "range_no").sortWithinPartitions("path", "range_no", "piece_no").mapInPandas(emit, "path string, piece_no bigint, begin bigint, end bigint, piece string")
+    folded = fold_tables(ranges.mapInPandas(tabulate, _TABLE)).withColumnRenamed("key", "path").drop("copies", "longest_run")
+    parts = folded.join(listed.select("path", "n_bytes", "size"), "path").repartition("path", "range_no").sortWithinPartitions("path", "range_no", "first_no")
+    return parts.mapInPandas(emit, "path string, piece_no bigint, begin bigint, end bigint, piece string")

@@ -43,7 +43,8 @@ def test_files_by_byte_ranges(spark, tmp_path):
     for p, t in texts.items():
         open(p, "w", newline="").write(t)
     got = {}
-    for r in S.split_files(spark, list(texts), 200, 30, range_bytes=1500).collect():
+    files = S.files_of(spark, f"file://{tmp_path}").withColumns({"size": F.lit(200), "overlap": F.lit(30)})
+    for r in S.split_files(files, range_bytes=1500).withColumn("path", F.replace("path", F.lit("file:"), F.lit(""))).collect():
         got.setdefault(r.path, []).append((r.piece_no, r.begin, r.end, r.piece))
     for p, t in texts.items():
         a, b, _ = S.cuts(t, 200, 30)
@@ -61,13 +62,28 @@ def test_natural_places():
 
 def test_longest_stretch_over_ranges(spark):
     t = "ab " + "x" * 3000 + " cd"
-    plan = S.split_plan(spark.createDataFrame([(1, t)], KIND), "id", "text", F.lit(100), F.lit(0), range_chars=500)
-    assert plan.first()._longest_run == 3000
+    plan = S.split_summary(spark.createDataFrame([(1, t)], KIND), "id", "text", F.lit(100), F.lit(0), range_chars=500)
+    assert tuple(plan.first()) == (1, 100, len(S.cuts(t, 100, 0)[0]), 3000) and S.cuts(t, 100, 0)[2] == 3000
 
 
 def test_odd_tables(spark):
-    df = spark.createDataFrame([(1, "abc def", 9, 8, None), (1, "abc def", 9, 8, -1)], KIND + ", _n int, _pieces int, sz int")
-    out = S.split_plan(df, "id", "text", F.col("sz"), F.lit(1))
-    assert out.count() == 0 and out.columns == ["id", "text", "_n", "sz", "_pieces", "_longest_run", "_oversized"]
-    assert S.split_plan(df, "id", "text", F.lit(5), F.lit(None)).first()._n == 9
+    df = spark.createDataFrame([(1, "abc def", 9, 8, None), (1, "abc def", 9, 8, -1)], KIND + ", key int, piece int, sz int")
+    assert S.split_texts(df, "id", "text", F.col("sz"), F.lit(1)).count() == 0
+    assert S.split_texts(df, "id", "text", F.lit(5), F.lit(None)).columns == ["id", "piece_no", "begin", "end", "piece"]
     assert S.split_texts(spark.createDataFrame([], KIND), "id", "text", F.lit(5), F.lit(1)).count() == 0
+    again = [(1, "abc def"), (1, "abc def"), (1, "xyz uvw"), (None, "abc def"), (2, "ab"), (2, "ab")]
+    got = sorted((str(r.id), r.piece_no, r.piece) for r in S.split_texts(spark.createDataFrame(again, KIND), "id", "text", F.lit(5), F.lit(0)).collect())
+    assert got == sorted([("1", 0, "abc "), ("1", 1, "def")] * 2 + [("1", 0, "xyz "), ("1", 1, "uvw"), ("None", 0, "abc "), ("None", 1, "def")] + [("2", 0, "ab")] * 2)
+
+
+def test_a_giant_text(spark):
+    import time
+
+    t = noisy(3, 220_000)
+    assert len(t) > 1_000_000
+    df = spark.createDataFrame([(1, t)], KIND)
+    S.split_texts(df, "id", "text", F.lit(500), F.lit(50)).count()
+    began = time.time()
+    got = sorted((r.begin, r.end, r.piece) for r in S.split_texts(df, "id", "text", F.lit(500), F.lit(50)).collect())
+    assert time.time() - began < 20  # about 2 s, where cutting every piece from the text's start took 6
+    assert got == [(a, b, t[a:b]) for a, b in zip(*S.cuts(t, 500, 50)[:2], strict=True)]
