@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections import deque
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -34,7 +35,6 @@ RANGE_CHARS, RANGE_BYTES, HALO = 1 << 13, 4 << 20, 256
 
 PARAGRAPH, LINE, SENTENCE, CLAUSE, BLANK, SEPARATOR, UNSAFE = 6, 5, 4, 3, 2, 1, -1
 _PLACE = regex.compile(r"\s+|[。！？](?=[^\s。！？」』）])|[、，；：](?=\S)|(?<=[\w\p{P}\p{S}])[-/?&=_.,;:+](?=\w)")
-_UNSAFE = regex.compile(r"(?=[\p{M}\u200d\U0001F3FB-\U0001F3FF])|(?<=\u200d)|(?<=\r)(?=\n)|(?<=[\U0001F1E6-\U0001F1FF])(?=[\U0001F1E6-\U0001F1FF])")
 _SPACES = regex.compile(r"\s")
 _CLOSERS = "\"'”’»)]}*_"
 
@@ -59,17 +59,48 @@ def _level(text: str, pos: int, first: int) -> int:
     return CLAUSE if body[-1:] in (",", ";", ":") else BLANK
 
 
+@cache
+def _joins(ch: str) -> str:
+    """Which side of a character no cut may be made on: b(efore), a(fter), f(lag letters: between two of them)."""
+    o = ord(ch)
+    if 0x1F1E6 <= o <= 0x1F1FF:
+        return "f"
+    return "ba" if o == 0x200D else "b" if unicodedata.category(ch)[0] == "M" or 0x1F3FB <= o <= 0x1F3FF else ""
+
+
+def _unsafe(window: str, begin: int, end: int) -> set[int]:
+    """Places with begin < p <= end inside a combined character or a line end."""
+    found: set[int] = set()
+    for ch in set(window):
+        if ch == "\r" or ch >= "\u0300" and _joins(ch):
+            side, i = _joins(ch), window.find(ch)
+            while i >= 0:
+                if "b" in side:
+                    found.add(i)
+                if "a" in side or ch == "\r" and window[i + 1 : i + 2] == "\n" or side == "f" and i + 1 < len(window) and _joins(window[i + 1]) == "f":
+                    found.add(i + 1)
+                i = window.find(ch, i + 1)
+    return {p for p in found if begin < p <= end}
+
+
 def places(window: str, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Places p with begin < p <= end of a window, and their strengths; places no cut may be made at have -1."""
-    found = {m.start(): UNSAFE for m in _UNSAFE.finditer(window, max(0, begin - 1)) if begin < m.start() <= end} if not window.isascii() or "\r" in window else {}
+    at, levels = [], []
     for m in _PLACE.finditer(window, max(0, begin - 1)):
         a, p = m.span()
         if p > end:
             break
-        if p > begin and p not in found:  # a single blank after a letter or digit is the common case
-            found[p] = BLANK if a and p - a == 1 and window[a] == " " and window[a - 1].isalnum() else _level(window, p, 0)
-    at = np.array(sorted(found), dtype=np.int64)
-    return at, np.array([found[p] for p in at.tolist()], dtype=np.int8)
+        if p > begin:  # a single blank after a letter or digit is the common case
+            at.append(p)
+            levels.append(BLANK if a and p - a == 1 and window[a] == " " and window[a - 1].isalnum() else _level(window, p, 0))
+    places_, strengths = np.array(at, dtype=np.int64), np.array(levels, dtype=np.int8)
+    if (not window.isascii() or "\r" in window) and (unsafe := _unsafe(window, begin, end)):
+        bad = np.array(sorted(unsafe), dtype=np.int64)
+        good = ~np.isin(places_, bad)
+        places_, strengths = np.concatenate([places_[good], bad]), np.concatenate([strengths[good], np.full(len(bad), UNSAFE, np.int8)])
+        order = np.argsort(places_)
+        places_, strengths = places_[order], strengths[order]
+    return places_, strengths
 
 
 def runs(body: str) -> tuple[int, int, int]:
