@@ -1,7 +1,8 @@
-"""Operators whose result depends on an order over all rows, in two levels so that no task holds the whole order.
+"""Operators whose result depends on an order over all rows, in levels so that no task holds the whole order.
 
-Rows go into buckets of neighbouring order keys; a window runs within each bucket, and one row of each bucket carries over.
-Order keys are whole numbers; ``width`` keys make a bucket.  Ties fall to ``tie``.
+Rows go into buckets of neighbouring order keys; a window runs within each bucket, one row of each bucket carries over, and those rows go into buckets in
+turn.  At the default width the topmost window holds one row of every four thousand million keys.  Order keys are whole numbers; ``width`` keys make
+a bucket.  Ties fall to ``tie``.
 """
 
 from __future__ import annotations
@@ -11,46 +12,44 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-WIDTH = 65_536
+WIDTH, LEVELS = 65_536, 2
 
 
-def _bucketed(df: DataFrame, key: str, width: int) -> DataFrame:
-    return df.withColumn("_bucket", F.floor(F.col(key) / width))
+def _before(df: DataFrame, key: str, value: str, out: str, width: int, tie: list[str], levels: int = LEVELS) -> DataFrame:
+    """``df`` with the last value that is not null in the rows before each."""
+    rows = lambda w: w.orderBy(key, *tie).rowsBetween(Window.unboundedPreceding, -1)
+    if not levels:
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(rows(Window.partitionBy())))
+    b, own, last, carried = f"_b{levels}", f"_own{levels}", f"_last{levels}", f"_carried{levels}"
+    x = df.withColumn(b, F.floor(F.col(key) / width))
+    x = x.withColumn(own, F.last(value, ignorenulls=True).over(rows(Window.partitionBy(b))))
+    ends = x.groupBy(b).agg(F.max_by(F.when(F.col(value).isNotNull(), F.col(value)), F.when(F.col(value).isNotNull(), F.struct(key, *tie))).alias(last))
+    ends = _before(ends, b, last, carried, width, [], levels - 1).select(b, carried)
+    return x.join(ends, b).withColumn(out, F.coalesce(own, carried)).drop(b, own, carried)
 
 
 def forward_fill(df: DataFrame, key: str, values: dict[str, str], given: Column, width: int = WIDTH, tie: list[str] | None = None) -> DataFrame:
     """Columns ``values`` (new name: source) of the last row at or before this one where ``given`` holds; null before the first."""
-    tie = tie or []
-    x = _bucketed(df, key, width).withColumn("_v", F.when(given, F.struct(*[F.col(s).alias(n) for n, s in values.items()])))
-    inside = Window.partitionBy("_bucket").orderBy(key, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_own", F.last("_v", ignorenulls=True).over(inside))
-    last = x.where("_v is not null").groupBy("_bucket").agg(F.max_by("_v", F.struct(key, *tie)).alias("_last"))
-    every = x.select("_bucket").distinct().join(last, "_bucket", "left")
-    carried = every.select("_bucket", F.last("_last", ignorenulls=True).over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    x = x.join(carried, "_bucket").withColumn("_f", F.coalesce("_own", "_carried"))
+    x = df.withColumn("_v", F.when(given, F.struct(*[F.col(s).alias(n) for n, s in values.items()])))
+    x = _before(x, key, "_v", "_p", width, tie or []).withColumn("_f", F.coalesce("_v", "_p"))
     return x.select(*[F.col(c) for c in df.columns], *[F.col(f"_f.{n}").alias(n) for n in values])
 
 
-def running_total(df: DataFrame, key: str, value: str, out: str, width: int = WIDTH, tie: list[str] | None = None) -> DataFrame:
+def running_total(df: DataFrame, key: str, value: str, out: str, width: int = WIDTH, tie: list[str] | None = None, levels: int = LEVELS) -> DataFrame:
     """``df`` with the sum of ``value`` over all rows before this one."""
-    tie = tie or []
-    x = _bucketed(df, key, width)
-    inside = Window.partitionBy("_bucket").orderBy(key, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_in", F.sum(value).over(inside) - F.col(value))
-    sums = x.groupBy("_bucket").agg(F.sum(value).alias("_s"))
-    sums = sums.select("_bucket", (F.sum("_s").over(Window.orderBy("_bucket")) - F.col("_s")).alias("_before"))
-    return x.join(sums, "_bucket").withColumn(out, F.col("_before") + F.col("_in")).drop("_bucket", "_in", "_before")
+    total = lambda w: F.sum(value).over(w.orderBy(key, *(tie or [])).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    if not levels:
+        return df.withColumn(out, total(Window.partitionBy()))
+    b, inside, s, before = f"_b{levels}", f"_in{levels}", f"_s{levels}", f"_before{levels}"
+    x = df.withColumn(b, F.floor(F.col(key) / width))
+    x = x.withColumn(inside, total(Window.partitionBy(b)))
+    sums = running_total(x.groupBy(b).agg(F.sum(value).alias(s)), b, s, before, width, None, levels - 1).select(b, before)
+    return x.join(sums, b).withColumn(out, F.col(before) + F.col(inside)).drop(b, inside, before)
 
 
 def drop_repeats(df: DataFrame, key: str, same: list[str], width: int = WIDTH, tie: list[str] | None = None) -> DataFrame:
     """Rows that differ in ``same`` from the row just before them; nulls are equal."""
-    tie = tie or []
-    x = _bucketed(df, key, width).withColumn("_s", F.struct(*same))
-    w = Window.partitionBy("_bucket").orderBy(key, *tie)
-    x = x.withColumn("_p", F.lag("_s").over(w))
-    ends = x.groupBy("_bucket").agg(F.max_by("_s", F.struct(key, *tie)).alias("_e"))
-    ends = ends.select("_bucket", F.lag("_e").over(Window.orderBy("_bucket")).alias("_before"))
-    x = x.join(ends, "_bucket").withColumn("_p", F.coalesce("_p", "_before"))
+    x = _before(df.withColumn("_s", F.struct(*same)), key, "_s", "_p", width, tie or [])
     return x.where(~F.col("_s").eqNullSafe(F.col("_p"))).select(*[F.col(c) for c in df.columns])
 
 
@@ -83,32 +82,19 @@ def reverse_within(df: DataFrame, group: list[str], pos: str) -> DataFrame:
 def accepted_notes(notes: DataFrame) -> DataFrame:
     """Notes that keep their place when an earlier one may hold their title or uuid: (…, accepted).
 
-    ``notes`` has pos, title_key and uuid.  The rule is one of order: a note that is turned down claims neither its title nor its uuid.  Notes that
-    share no title and no uuid are accepted in the JVM; the few others are folded in order by connected group.
+    ``notes`` has pos (unique), title_key and uuid.  The rule is one of order: a note that is turned down claims neither its title nor its uuid; null
+    uuids claim nothing, null titles are one title.  In rounds, the notes that are first of the open ones both by title and by uuid are
+    accepted, and all that share a title or uuid with them are closed.  First ones come from minima that are combined before the shuffle, so that a title that a
+    third of the notes bear costs one row a task, and is closed after one round.
     """
-    n_title = F.count(F.lit(1)).over(Window.partitionBy("title_key"))
-    n_uuid = F.when(F.col("uuid").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy("uuid"))).otherwise(1)
-    x = notes.withColumn("_c", (n_title > 1) | (n_uuid > 1))
-    clear = x.where("not _c").drop("_c").withColumn("accepted", F.lit(True))
-    rest = x.where("_c").drop("_c").withColumn("_g", F.col("pos"))
-    while True:  # groups of notes linked by a title or a uuid take their smallest position
-        low = F.least(F.min("_g").over(Window.partitionBy("title_key")), F.when(F.col("uuid").isNotNull(), F.min("_g").over(Window.partitionBy("uuid"))).otherwise(F.col("_g")))
-        moved = stored(rest.withColumn("_n", low), "notes")
-        done = moved.where("_n < _g").isEmpty()
-        rest = moved.withColumn("_g", F.col("_n")).drop("_n")
-        if done:
+    opened, accepted = notes.select("pos", "title_key", "uuid"), None
+    while True:
+        by_title = opened.groupBy("title_key").agg(F.min("pos").alias("pos"), F.min_by("uuid", "pos").alias("uuid"))
+        by_uuid = opened.where("uuid is not null").groupBy("uuid").agg(F.min("pos").alias("first"))
+        new = stored(by_title.join(by_uuid, "uuid", "left").where("uuid is null or pos = first").select("pos", "title_key", "uuid"), "accepted")
+        accepted = new if accepted is None else accepted.unionByName(new)
+        titles, uuids = new.select(F.col("title_key").alias("_t")), new.where("uuid is not null").select("uuid")
+        opened = stored(opened.join(titles, F.col("title_key").eqNullSafe(F.col("_t")), "left_anti").join(uuids, "uuid", "left_anti").select("pos", "title_key", "uuid"), "open")
+        if opened.isEmpty():
             break
-
-    def fold(pdf):
-        titles, uuids, ok = set(), set(), []
-        pdf = pdf.sort_values("pos")
-        for t, u in zip(pdf.title_key, pdf.uuid, strict=True):
-            good = t not in titles and (u is None or u not in uuids)
-            if good:
-                titles.add(t)
-                uuids.add(u)
-            ok.append(good)
-        return pdf.drop(columns="_g").assign(accepted=ok)
-
-    folded = rest.groupBy("_g").applyInPandas(fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clear.schema.fields))
-    return clear.unionByName(folded)
+    return notes.join(accepted.select("pos", F.lit(True).alias("accepted")), "pos", "left").select(*notes.columns, F.coalesce("accepted", F.lit(False)).alias("accepted"))

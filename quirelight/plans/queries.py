@@ -197,7 +197,7 @@ select doc_id, n::int as n, (sum(n) over (order by doc_id) - n)::bigint as first
 def chunk_totals(spark, d):
     """Number of chunks, and each document's first row in the matrix of vectors, by a running sum in two levels."""
     x = table(spark, d, "documents").select("doc_id", search.chunk_count(F.col("text"), 150).alias("n"))
-    return ordered.running_total(x, "doc_id", "n", "first_row", 1024)
+    return ordered.running_total(x, "doc_id", "n", "first_row")
 
 
 @query("select doc_id, substring(text, 301, 350) as span from documents where length(text) > 300")
@@ -284,12 +284,12 @@ with m as (select event_id, case when value > 50 then value end as v, case when
 select event_id, last_value(v ignore nulls) over (order by event_id) as filled, coalesce(last_value(f ignore nulls) over (order by event_id), -1) as filled_from from m""")
 def forward_fill(spark, d):
     """Missing values from the last row that has one, over all rows, in two levels."""
-    return ordered.forward_fill(table(spark, d, "events"), "event_id", {"filled": "value", "filled_from": "event_id"}, F.col("value") > 50, 1024).select("event_id", "filled", F.coalesce("filled_from", F.lit(-1)).alias("filled_from"))
+    return ordered.forward_fill(table(spark, d, "events"), "event_id", {"filled": "value", "filled_from": "event_id"}, F.col("value") > 50).select("event_id", "filled", F.coalesce("filled_from", F.lit(-1)).alias("filled_from"))
 
 
 @query("select event_id, event_type from (select event_id, event_type, lag(event_type) over (order by event_id) as p from events) t where p is distinct from event_type")
 def consecutive_dedupe(spark, d):
-    return ordered.drop_repeats(table(spark, d, "events").select("event_id", "event_type"), "event_id", ["event_type"], 1024)
+    return ordered.drop_repeats(table(spark, d, "events").select("event_id", "event_type"), "event_id", ["event_type"])
 
 
 @query("select doc_id, source from (select *, row_number() over (partition by lower(text) order by doc_id) as r from documents) t where r = 1")
