@@ -161,9 +161,12 @@ def top_k_per_query(vectors: DataFrame, queries: DataFrame, k: int, block: int =
     """(query_id, vec_id, cosine, rank): the k best vectors for each query vector, the query itself left out; ties by vec_id.
 
     Queries and vectors (vec_id, embedding) come in blocks of about ``block`` rows; every block of the one meets every block of the other as one
-    matrix product that keeps k rows a query, so what moves on is k rows per query and block, never all pairs.
+    matrix product that keeps k rows a query, so what moves on is k rows per query and block, never all pairs.  Null vectors, and those of another length than
+    the queries' longest, meet nothing.
     """
-    n_q, n_v = queries.count(), vectors.count()
+    n_q, width = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    queries, vectors = (x.where((F.size("embedding") == (width or 0)) & F.col("vec_id").isNotNull()) for x in (queries, vectors))
+    n_v = vectors.count()
     bq, bv = max(1, -(-n_q // block)), max(1, -(-n_v // block))
     q = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(bq)).alias("qb"), F.lit(True).alias("q"), "vec_id", "embedding").withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(bv - 1))))
     v = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(bv)).cast("int").alias("vb"), F.lit(False).alias("q"), "vec_id", "embedding").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))

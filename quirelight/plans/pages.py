@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, julian
@@ -96,7 +96,9 @@ def build(rows: DataFrame, page: Page) -> DataFrame:
     event = F.when(F.col("remark") != "", F.concat(F.lit("Date: "), F.col("remark"), F.lit(", "), F.col("_t"))).otherwise(F.col("_t"))
     out = x.select("pos", "date", "remark", event.alias("event"), F.col("_jd.jd_start").alias("jd_start"), F.col("_jd.jd_end").alias("jd_end"), *[_cell(i).alias(n) for n, i in page.kept.items()])
     if page.distinct:
-        out = ordered.first_wins(out, F.struct("date", "event"), ["pos"])
+        # equal dates are neighbours in the order of time, so only rows of one time can repeat the one before
+        at = Window.partitionBy("jd_start", F.coalesce("jd_end", "jd_start")).orderBy("pos")
+        out = out.withColumn("_p", F.lag(F.struct("date", "event")).over(at)).where(~F.struct("date", "event").eqNullSafe(F.col("_p"))).drop("_p") if page.order == "time" else ordered.drop_repeats(out, "pos", ["date", "event"], TABLE_ROWS)
     if page.order == "time":
         return out.orderBy("jd_start", F.coalesce("jd_end", "jd_start"), "pos")
     return out.orderBy(F.col("pos").desc() if page.order == "reverse" else F.col("pos"))

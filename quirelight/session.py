@@ -55,6 +55,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def create(spark: SparkSession, path: str, content: str) -> bool:
+    """Create a small file; false if there is one of that name."""
+    p, fs = _path(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Exception:
+        if fs.exists(p):
+            return False
+        raise
+    out.write(bytearray(content.encode()))
+    out.close()
+    return True
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     p, fs = _path(spark, path)
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.julian import event_date_text
@@ -21,13 +21,19 @@ def padded(c: Column, width: Column | int) -> Column:
 
 
 def table_lines(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """(line_no, line) of a Markdown table; the header takes lines 0 and 1."""
+    """(line_no, line) of a Markdown table; the header takes lines 0 and 1.
+
+    The sorted rows are stored with their place in their part; the parts' lengths, one number each, give where they begin.
+    """
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
-    body = rows.select(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], cells.alias("line"))
     spark = rows.sparkSession
     head = spark.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + " --- |" * len(columns))], "line_no bigint, line string")
-    keys = [f"_o{i}" for i in range(len(order))]
-    body = body.orderBy(*keys).withColumn("line_no", F.monotonically_increasing_id() + 2).select("line_no", "line")
+    body = rows.select(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], cells.alias("line"))
+    body = stored(body.orderBy(*[f"_o{i}" for i in range(len(order))]).select("line", F.monotonically_increasing_id().alias("_id")), "lines")
+    part = F.shiftright("_id", 33)
+    sizes = body.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    begins = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
+    body = body.withColumn("_p", part).join(begins, "_p").select((F.col("_b") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 2).alias("line_no"), "line")
     return head.unionByName(body)
 
 

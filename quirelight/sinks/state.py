@@ -2,41 +2,46 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import model_folder
+from ..session import create, exists
 
 MANIFEST = "sequence_number bigint, timestamp string, path string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def last_state(spark: SparkSession, root: str) -> tuple[int, str | None]:
     """(sequence number, path) of the newest snapshot below ``root``; (0, None) without one."""
-    if not _exists(spark, f"{root}/manifest"):
+    if not exists(spark, f"{root}/manifest"):
         return 0, None
-    top = spark.read.schema(MANIFEST).json(f"{root}/manifest").orderBy(F.col("sequence_number").desc()).limit(1).collect()
+    top = spark.read.schema(MANIFEST).json(f"{root}/manifest").where("path is not null").orderBy(F.col("sequence_number").desc()).limit(1).collect()
     return (top[0].sequence_number, top[0].path) if top else (0, None)
 
 
 def save_state(entries: DataFrame, root: str, expected: int | None = None) -> int:
     """Write a snapshot under the next sequence number and return it.
 
-    With ``expected`` the write is refused if someone else has written since that number.
+    The entries go under a name of their own and count only from the moment the manifest's file of that number is created, which fails if there is one: of two
+    writers one gets the number.  With ``expected`` the other is refused, else it takes the number after.
     """
     spark = entries.sparkSession
     now, _ = last_state(spark, root)
     if expected is not None and now != expected:
         raise RuntimeError(f"the state is at {now}, not at {expected}")
-    path = f"{root}/entries/sequence={now + 1:012d}"
-    entries.write.mode("overwrite").parquet(path)
-    row = spark.range(1).select(F.lit(now + 1).cast("bigint").alias("sequence_number"), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("timestamp"), F.lit(path).alias("path"))
-    row.coalesce(1).write.mode("append").json(f"{root}/manifest")
-    return now + 1
+    path = f"{root}/entries/{uuid.uuid4().hex}"
+    entries.write.parquet(path)
+    while True:
+        now += 1
+        when = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S+00:00")
+        if create(spark, f"{root}/manifest/{now:012d}.json", json.dumps({"sequence_number": now, "timestamp": when, "path": path})):
+            return now
+        if expected is not None:
+            raise RuntimeError(f"state {now} was written meanwhile")
 
 
 def load_state(spark: SparkSession, root: str) -> DataFrame | None:

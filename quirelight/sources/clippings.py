@@ -57,6 +57,11 @@ def blocks(files: DataFrame, text: str = "text") -> DataFrame:
     return x.withColumn("block", strip("block")).where("block <> ''")
 
 
+def first_clippings(files: DataFrame, n: int, text: str = "text") -> DataFrame:
+    """The first ``n`` blocks of each file."""
+    return blocks(files, text).where(F.col("block_no") < n)
+
+
 def parse(clips: DataFrame, zone: str = "UTC") -> DataFrame:
     """Blocks with title, author, type, location, page, date (ISO, in UTC), text and error.
 

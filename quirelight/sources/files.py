@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import functools
+import importlib.util
 import io
 import json
 import xml.etree.ElementTree as ET
@@ -17,7 +19,6 @@ from pyspark.sql import types as T
 
 BOOKMARKS = "META-INF/calibre_bookmarks.txt"
 BOOKMARK_PREFIX = "encoding=json+base64:\n"
-STATE = "sequence_number bigint, timestamp string, path string"
 
 
 class _Tables(HTMLParser):
@@ -159,24 +160,37 @@ def bookmarks(content: Column) -> Column:
     return _by_content(epub_bookmarks, "string")(content)
 
 
+def reads_pdf() -> bool:
+    return importlib.util.find_spec("pypdf") is not None
+
+
 def metadata_scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, metadata, valid) of all EPUB files, and of PDF files where a library can read them."""
-    x = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.epub").load(root)
-    return x.select("path", epub_metadata(F.col("content")).alias("metadata")).withColumn("valid", F.col("metadata").isNotNull())
+    kinds = [("epub", epub_info)] + ([("pdf", pdf_info)] if reads_pdf() else [])
+    found = None
+    for kind, info in kinds:
+        x = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}").load(root)
+        x = x.select("path", _by_content(info, "map<string,string>")(F.col("content")).alias("metadata")).withColumn("valid", F.col("metadata").isNotNull())
+        found = x if found is None else found.unionByName(x)
+    return found
 
 
 def scan_counts(scanned: DataFrame) -> DataFrame:
     return scanned.agg(F.count_if("valid").alias("ok"), F.count_if(~F.col("valid")).alias("error"))
 
 
-def read_corpus(spark: SparkSession, root: str, library: str, formats: tuple[str, ...] = ("txt", "md")) -> DataFrame:
-    """(desc, filename, text) of a folder's texts, desc being ``{library}`` and the path below the folder; PDF needs a PDF library."""
+def read_corpus(spark: SparkSession, root: str, library: str, formats: tuple[str, ...] | None = None) -> DataFrame:
+    """(desc, filename, text) of a folder's texts, desc being ``{library}`` and the path below the folder; PDF by default where a library can read it."""
+    formats = formats or ("txt", "md", *(["pdf"] if reads_pdf() else []))
     plain = [f for f in formats if f in ("txt", "md", "py")]
-    x = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(plain) + "}").text(root, wholetext=True)
-    x = x.select(F.col("_metadata.file_path").alias("_p"), F.col("value").alias("text"))
+    parts = []
+    if plain:
+        x = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(plain) + "}").text(root, wholetext=True)
+        parts.append(x.select(F.col("_metadata.file_path").alias("_p"), F.col("value").alias("text")))
     if "pdf" in formats:
         p = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(root)
-        x = x.unionByName(p.select(F.col("path").alias("_p"), _by_content(pdf_text, "string")(F.col("content")).alias("text")))
+        parts.append(p.select(F.col("path").alias("_p"), _by_content(pdf_text, "string")(F.col("content")).alias("text")))
+    x = functools.reduce(DataFrame.unionByName, parts)
     base = root.removeprefix("file://").rstrip("/") + "/"
     path = F.url_decode(F.replace("_p", F.lit("+"), F.lit("%2B")))
     below = F.substring(path, F.locate(base, path) + len(base), F.length(path))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashes import digest, sparse_md5
-from ..functions.text import short_title, strip_articles
+from ..functions.text import nfc, short_title, strip_articles
 
 FORMATS = ("pdf", "epub", "md", "txt")
 SKIPPED = (".caltrash", ".calnotes")
@@ -56,7 +56,7 @@ def parse_metadata(files: DataFrame) -> DataFrame:
     creators = _all(o, "//*[name()='dc:creator' and @*[local-name()='role']='aut']/text()")
     sort = strip_articles(meta("calibre:title_sort"))
     return files.select(
-        "path", folder(F.col("path")).alias("folder"), _first(o, "title").alias("title"), sort.alias("title_sort"), short_title(_first(o, "title"), sort, creators).alias("short_title"), series.alias("short_folder"),
+        "path", folder(F.col("path")).alias("folder"), _first(o, "title").alias("title"), sort.alias("title_sort"), short_title(_first(o, "title"), sort, creators, nfc).alias("short_title"), series.alias("short_folder"),
         _first(o, "description").alias("description"), creators.alias("creators"), series.alias("series"), _all(o, "//*[name()='dc:subject']/text()").alias("subjects"),
         _all(o, "//*[name()='dc:language']/text()").alias("languages"), _first(o, "publisher").alias("publisher"), ids.alias("identifiers"), by_id("uuid_id").alias("uuid"), by_id("calibre_id").alias("calibre_id"),
         F.coalesce(utc_text(_first(o, "date")), F.lit("")).alias("publication_date"), F.coalesce(utc_text(meta("calibre:timestamp")), F.lit("")).alias("date_added"), F.concat(F.lit("Books/"), series).alias("context"),
@@ -69,7 +69,7 @@ def read_documents(spark: SparkSession, root: str, formats: tuple[str, ...] = FO
     x = _paths(x.withColumnRenamed("path", "_p"), root, "_p")
     for s in SKIPPED:
         x = x.where(~F.contains("path", F.lit(s)))
-    name = F.element_at(F.split("path", "/"), -1)
+    name = F.element_at(F.split(nfc("path"), "/"), -1)
     return x.select(
         "path", folder(F.col("path")).alias("folder"), name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("format"), F.col("length").alias("size"),
         digest(F.col("content"), hash_algo).alias("hash"), F.lit(hash_algo).alias("hash_algo"), sparse_md5(F.col("content")).alias("kosync_md5"), F.unix_micros("modificationTime").cast("double").__truediv__(1e6).alias("mod_time"),
@@ -94,8 +94,10 @@ def load_library(spark: SparkSession, root: str, hash_algo: str = "crc32", load_
 
 
 def missing_fields(entries: DataFrame, mandatory: list[str]) -> DataFrame:
-    """One row (field, missing): how many entries lack a mandatory field."""
-    counts = entries.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in mandatory])
+    """One row (field, missing): how many entries lack a mandatory field, or hold it empty as the loader does."""
+    empty = {"string": lambda c: c == "", "array": lambda c: F.size(c) == 0}
+    lacks = lambda f: F.col(f).isNull() | empty.get(entries.schema[f].dataType.typeName(), lambda c: F.lit(False))(F.col(f))
+    counts = entries.agg(*[F.count_if(lacks(f)).alias(f) for f in mandatory])
     return counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, mandatory)), F.array(*mandatory))).alias("field", "missing"))
 
 
@@ -105,7 +107,7 @@ def read_target(spark: SparkSession, root: str, hash_algo: str = "crc32") -> Dat
     x = _paths(x.withColumnRenamed("path", "_p"), root, "_p")
     parts = F.split("path", "/")
     x = x.where(~F.exists(parts, lambda p: p.startswith(".")) & ~F.element_at(parts, -1).isin("repo_state.json", "annotations.json"))
-    return x.select("path", digest(F.col("content"), hash_algo).alias("hash"), F.lit(hash_algo).alias("hash_algo"))
+    return x.select(nfc("path").alias("path"), digest(F.col("content"), hash_algo).alias("hash"), F.lit(hash_algo).alias("hash_algo"))
 
 
 def sidecars(files: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+import subprocess
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,14 +98,15 @@ def comment_metadata(line: str) -> dict[str, str]:
 def parse_tables(body: str) -> list[dict]:
     """Tables of a note: columns, rows and the metadata of the last comment before.
 
-    A header that does not end in a pipe ends the note's parsing; a line after the header that is no separator clears the columns;
-    the line that ends a table is not looked at again; fences and ``$$`` blocks are skipped; tables without rows are left out.
+    A header that does not end in a pipe ends the note's parsing; a line after the header that is no separator ends the table, one that begins with a pipe
+    but holds other signs only clears the columns; a row's last cell counts only if a pipe ends it; the line that ends a table is not looked at
+    again; fences and ``$$`` blocks are skipped, up to a line that begins like them; tables without rows are left out.  Fences, blocks, tables and bad
+    separators use up the comments before.  A formula on one line is no block, and a table may end with the text.
     """
     lines = [x.strip() for x in body.split("\n")]
     tables: list[dict] = []
     meta: dict[str, str] = {}
-    cells = lambda s: [c.strip() for c in s[1:-1].split("|")]
-    piped = lambda s: s.endswith("|") and len(s) > 1
+    cells = lambda s: [c.strip() for c in s[1:].split("|")][:-1]
     at = 0
 
     def take() -> str:
@@ -118,23 +120,25 @@ def parse_tables(body: str) -> list[dict]:
     while at < len(lines):
         line = take()
         block = next((m for m in ("```", "$$") if line.startswith(m)), None)
-        if block and not (block == "$$" and len(line) > 2 and line.endswith("$$")):
-            while at < len(lines):
-                inner = take()
-                if inner.startswith(block) if block == "```" else inner.endswith(block):
-                    break
+        if block and not (block == "$$" and len(line) > 3 and line.endswith("$$")):
+            while at < len(lines) and not take().startswith(block):
+                pass
+            meta = {}
         elif line.startswith("|"):
-            if not piped(line):
+            if not line.endswith("|"):
                 return tables
             if at == len(lines):
                 break
-            below, rows = take(), []
+            below, columns, rows = take(), cells(line), []
+            if not re.fullmatch(r"[| \-:><]*", below):
+                columns, meta = [], {}
             if not below.startswith("|"):
+                meta = {}
                 continue
             while at < len(lines) and (row := take()).startswith("|"):
-                rows.append(cells(row if piped(row) else row + "|"))
+                rows.append(cells(row))
             if rows:
-                tables.append({"columns": cells(line) if re.fullmatch(r"[| \-:><]*", below) else [], "rows": rows, "metadata": meta})
+                tables.append({"columns": columns, "rows": rows, "metadata": meta})
             meta = {}
     return tables
 
@@ -166,7 +170,7 @@ def complete_front_matter(notes: DataFrame, created: Column | None = None) -> Da
     folder = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(".")
     tags = F.from_json(m["tags"], "array<string>")
     series = F.get(F.filter(tags, lambda t: t.startswith("Series/")), F.lit(0))
-    context = F.when(m["context"].isNotNull() & (folder == "Books") & series.isNotNull(), F.concat(F.lit("Books/"), F.substring(series, 8, 4096))).otherwise(folder)
+    context = F.when(m["context"].isNotNull() & (folder == "Books") & series.isNotNull(), F.concat(F.lit("Books/"), F.substring(series, F.lit(8), F.length(series)))).otherwise(folder)
     when = F.coalesce(created, F.col("modified")) if created is not None else F.col("modified")
     x = notes.withColumns({"_m": m, "_c": context, "_when": F.date_format(when, "yyyy-MM-dd'T'HH:mm:ssXXX")})
     lacks = lambda k: (F.col("_m")[k].isNull()).cast("int")
@@ -178,16 +182,25 @@ def complete_front_matter(notes: DataFrame, created: Column | None = None) -> Da
     return x.withColumn("changes", changes).withColumn("metadata", filled).drop("_m", "_c", "_when")
 
 
-def load_notes(spark: SparkSession, root: str) -> DataFrame:
-    """(path, title_key, uuid, metadata, body, tables, links, changes) of a folder of notes."""
+def git_created(spark: SparkSession, root: str) -> DataFrame:
+    """(path, created): when each file below a git work tree was first committed, by one walk through its history; empty outside of git."""
+    folder = Path(root.removeprefix("file://"))
+    walk = ["git", "-C", str(folder), "-c", "core.quotePath=false", "log", "--reverse", "--diff-filter=A", "--format=%x00%aI", "--name-only", "--relative"]
+    done = subprocess.run(walk, capture_output=True, text=True, check=False) if (folder / ".git").exists() else None
+    first: dict[str, str] = {}
+    for commit in (done.stdout if done and not done.returncode else "").split("\0")[1:]:
+        when, *names = [x for x in commit.split("\n") if x]
+        for n in names:
+            first.setdefault(n, when)
+    return spark.createDataFrame(list(first.items()), "path string, created string").select("path", F.col("created").cast("timestamp").alias("created"))
+
+
+def load_notes(spark: SparkSession, root: str, use_git: bool = False) -> DataFrame:
+    """(path, title_key, uuid, metadata, body, tables, links, changes) of a folder of notes; creation times come from git where asked for."""
     x = read_notes(spark, root).withColumn("_f", front_matter(F.col("text")))
-    x = complete_front_matter(x.select("path", "modified", yaml_map(F.col("_f.front")).alias("metadata"), F.col("_f.body").alias("body")))
+    x = x.join(git_created(spark, root), "path", "left") if use_git else x.withColumn("created", F.lit(None).cast("timestamp"))
+    x = x.select("path", "modified", "created", yaml_map(F.col("_f.front")).alias("metadata"), F.col("_f.body").alias("body"))
+    x = complete_front_matter(x, F.col("created"))
     title = F.lower(F.regexp_replace("path", r"^.*/|\.md$", ""))
     return x.select("path", title.alias("title_key"), F.col("metadata")["uuid"].alias("uuid"), "metadata", "body", tables(F.col("body")).alias("tables"), links(F.col("body")).alias("links"), "changes")
 
-
-def parsed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches of (key, body) as one row for each table row."""
-    for b in batches:
-        rows = [(k, t, i, r) for k, v in zip(b.key, b.body, strict=True) if v is not None for t, tab in enumerate(parse_tables(v)) for i, r in enumerate(tab["rows"])]
-        yield pd.DataFrame(rows, columns=["key", "table_no", "row_no", "cells"])
