@@ -12,7 +12,7 @@ from ..operators import diff, intervals, ordered, search, snapshots, timeline
 from ..operators.keywords import domain_filter, keyword_filter
 from ..session import is_folder, table
 from ..sinks import render
-from ..sources import clippings, files, notes
+from ..sources import clippings, files, library, notes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -249,11 +249,11 @@ def index_changes(spark, d):
 
 
 @query("""
-with t as (select doc_id, text, unnest(range(0, length(text), 64)) as a from documents where length(text) > 0)
+with t as (select doc_id, text, unnest(range(0, length(text), 4)) as a from documents where length(text) > 0)
 select doc_id, a::int as at, md5(substring(text, (greatest(0, least(a - 8, length(text) - 16)) + 1)::int, 16)) as h from t""")
 def context_windows(spark, d):
-    """Windows of 16 characters every 64 characters, moved inward at the ends."""
-    return search.windows(table(spark, d, "documents").select("doc_id", "text"), "text", 16, 64).select("doc_id", "at", F.md5("window").alias("h"))
+    """Windows of 16 characters every 4 characters, moved inward at the ends."""
+    return search.windows(table(spark, d, "documents").select("doc_id", "text"), "text", 16, 4).select("doc_id", "at", F.md5("window").alias("h"))
 
 
 # ---- order
@@ -288,7 +288,12 @@ def ordered_list(spark, d):
     return x.select("user_id", F.array_join("kinds", ",").alias("kinds"))
 
 
-@query()
+@query("""
+with recursive b as (select row_number() over (order by book_id) as i, book_id as pos, lower(title) as title_key, nullif(lower(uuid), '') as uuid from books),
+r as (select 0::bigint as i, 0::bigint as pos, false as accepted, []::varchar[] as titles, []::varchar[] as uuids union all
+select b.i, b.pos, t.ok, case when t.ok then list_append(titles, coalesce(b.title_key, chr(1))) else titles end, case when t.ok and b.uuid is not null then list_append(uuids, b.uuid) else uuids end
+from r join b on b.i = r.i + 1, lateral (select not list_contains(titles, coalesce(b.title_key, chr(1))) and not coalesce(list_contains(uuids, b.uuid), false) as ok) t)
+select b.pos, title_key, uuid, accepted from r join b using (i)""")
 def accepted_notes(spark, d):
     """Books that keep their place when an earlier one holds their title or uuid."""
     b = table(spark, d, "books").select(F.col("book_id").alias("pos"), F.lower("title").alias("title_key"), F.nullif(F.lower("uuid"), F.lit("")).alias("uuid"))
@@ -429,9 +434,20 @@ def sanitize_name(spark, d):
     return table(spark, d, "books").select("book_id", text.note_name(F.col("title")).alias("note_name"), text.file_name(F.col("title")).alias("file_name"))
 
 
-@query()
+_STRIP = "regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_FIND = "case when contains(s, '{0}') then case when strpos(substring(s, 31), '{0}') > 0 then 29 + strpos(substring(s, 31), '{0}') else -1 end end"
+_COUNTS = "regexp_full_match({}, '[0-9]+|[IVXLCDM]+')"
+
+
+@query(f"""
+with b as (select book_id, coalesce(title, '') as t, regexp_replace(regexp_replace(coalesce(title_sort, ''), ', (Der|Die|Das|Ein|Eine)$', ''), ', (The|A|An)$', '') as ts, coalesce(creators[1], 'Unknown') as a from books),
+f as (select *, nfc_normalize({_STRIP.format(_FILE_NAME.format("ts").removeprefix("trim(").removesuffix(")"))}) as s, string_split(t, ' ') as w, list_extract(string_split(ts, ' '), -1) as l from b),
+v as (select *, coalesce(case when {_COUNTS.format("w[1]")} then w[1] end, case when {_COUNTS.format("l")} then l end, list_extract([x for x in w if {_COUNTS.format("x")}], 1), '') as volume,
+  coalesce(least({", ".join(_FIND.format(ch) for ch in ",.-:;")}), -1) as p, case when strpos(substring(s, 31), ' ') > 0 then 29 + strpos(substring(s, 31), ' ') else -1 end as q from f),
+c as (select *, {_STRIP.format("case when length(s) > 70 then substring(s, 1, case when p > 30 and p < 70 then p when q >= 30 and q < 70 then q else 70 end) else s end")} as h from v)
+select book_id, {_STRIP.format("case when volume <> '' and not contains(h, volume) then h || ' ' || volume else h end")} || ' - ' || nfc_normalize({_STRIP.format(_FILE_NAME.format("a").removeprefix("trim(").removesuffix(")"))}) as short_title from c""")
 def short_title(spark, d):
-    """Short titles of every book; the stored ones keep signs and drop other articles, so no SQL says the same."""
+    """Short titles of every book, by the rule; the stored ones keep signs and drop other articles."""
     return table(spark, d, "books").select("book_id", text.short_title(F.col("title"), text.strip_articles(F.col("title_sort")), F.col("creators"), text.nfc).alias("short_title"))
 
 
@@ -483,11 +499,19 @@ def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", hashes.digest(c, "md5").alias("md5"), hashes.digest(c, "sha256").alias("sha256"))
 
 
+_SAMPLES = " || ".join(f"array_slice(encode(text), {o + 1}, {o + 1024})" for o in (0, *(1024 << (2 * i) for i in range(11))))
+
+
+@query(f"select doc_id, md5({_SAMPLES}) as sparse_md5 from documents where text is not null")
+def sparse_hashes(spark, d):
+    """MD5 of samples of the documents' bytes."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", hashes.sparse_md5(F.col("text").cast("binary")).alias("sparse_md5"))
+
+
 @query()
 def file_hashes(spark, d):
-    """Block-wise CRC-32 and sparse MD5 of the documents' bytes."""
-    c = F.col("text").cast("binary")
-    return table(spark, d, "documents").where("text is not null").select("doc_id", hashes.block_crc32(c).alias("crc32"), hashes.sparse_md5(c).alias("sparse_md5"))
+    """Exclusive-or of the CRC-32 of the blocks of the documents' bytes; there is no CRC-32 in SQL."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", hashes.block_crc32(F.col("text").cast("binary")).alias("crc32"))
 
 
 @query("select book_id, 'calibre://show-book/_hex_-' || lower(hex(encode(repo_name))) || '/' || calibre_id as link from books")
@@ -508,7 +532,7 @@ def model_folders(spark, d):
 @query("select entry_id, case when filename like '~/%' then '/home/u' || substring(filename, 2) else filename end as f, filename as short from text_entries")
 def home_relative(spark, d):
     t = table(spark, d, "text_entries")
-    full = F.when(F.col("filename").startswith("~/"), F.concat(F.lit("/home/u"), F.substring("filename", 2, 4096))).otherwise(F.col("filename"))
+    full = F.when(F.col("filename").startswith("~/"), F.concat(F.lit("/home/u"), F.substring("filename", F.lit(2), F.length("filename")))).otherwise(F.col("filename"))
     return t.select("entry_id", full.alias("f"), text.home_relative(full, "/home/u").alias("short"))
 
 
@@ -526,11 +550,12 @@ def stats_counts(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(blank).alias("blank"), F.max("n_chars").alias("longest"), F.unix_micros(F.max("ingested_at")).alias("latest"))
 
 
-@query("select 'title' as field, sum((title is null)::int)::bigint as missing from books union all select 'publisher', sum((publisher is null)::int)::bigint from books union all select 'doc_text', sum((doc_text is null)::int)::bigint from books")
+@query("""
+select 'title' as field, count(*) filter (coalesce(title, '') = '') as missing from books union all select 'publisher', count(*) filter (coalesce(publisher, '') = '') from books union all
+select 'creators', count(*) filter (len(coalesce(creators, [])) = 0) from books union all select 'doc_text', count(*) filter (coalesce(doc_text, '') = '') from books""")
 def missing_fields(spark, d):
-    from ..sources.library import missing_fields as count
-
-    return count(table(spark, d, "books"), ["title", "publisher", "doc_text"])
+    """Books that lack a field or hold it empty."""
+    return library.missing_fields(table(spark, d, "books"), ["title", "publisher", "creators", "doc_text"])
 
 
 @query("select r_name as name, 'region' as kind from region union all select n_name, 'nation' from nation")
@@ -541,8 +566,7 @@ def union_tables(spark, d):
 
 @query("select book_id, id from (select book_id, unnest(identifiers) as id from books) t where split_part(id, '/', 1) not in ('calibre', 'uuid')")
 def identifiers(spark, d):
-    x = table(spark, d, "books").select("book_id", F.explode("identifiers").alias("id"))
-    return x.where(~F.substring_index("id", "/", 1).isin("calibre", "uuid"))
+    return table(spark, d, "books").select("book_id", F.explode(library.own_identifiers(F.col("identifiers"))).alias("id"))
 
 
 @query("select b.book_id, r.home_zone from books b join repositories r on b.repo_name = r.repo_name")

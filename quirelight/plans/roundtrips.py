@@ -391,10 +391,12 @@ def page_filled(spark, d):
     return pages.build(rows, pages.Page(tables=((1, 1),), fill=True)).select("pos", "date", "remark")
 
 
-@query(f"select {_ROWS} as pos, (case when o_orderkey % 3 = 2 then o_custkey * 1000 else o_custkey end) || ' kya BP' as date from orders")
+@query(f"""
+with o as (select {_ROWS} as pos, (o_custkey + 20) * case when o_orderkey % 3 = 2 then 1000 else 1 end as v from orders)
+select pos, case when v >= 1000000 then regexp_replace(printf('%.3f', v / 1000000.0), '\\.?0+$', '') || ' Ga BP' when v >= 1000 then regexp_replace(printf('%.3f', v / 1000.0), '\\.?0+$', '') || ' Ma BP' else v || ' ka BP' end as date from o""")
 def page_ages(spark, d):
     """Bare numbers as ages, in another unit from the third table on."""
-    rows = page_rows(spark, d, F.col("o_custkey"), F.lit("x"))
+    rows = page_rows(spark, d, F.col("o_custkey") + 20, F.lit("x"))
     return pages.build(rows, pages.Page(tables=((0, 2),), scale="kya BP", factor=1000.0, factor_from=2, order="reverse")).select("pos", "date")
 
 

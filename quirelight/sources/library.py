@@ -49,8 +49,8 @@ def parse_metadata(files: DataFrame) -> DataFrame:
     """Book entries of metadata files: fields are empty where the file has none; creators are those with the role ``aut``."""
     o = F.col("opf")
     meta = lambda n: F.coalesce(F.xpath_string(o, F.lit(f"//*[local-name()='meta' and @name='{n}']/@content")), F.lit(""))
-    scheme = "//*[name()='dc:identifier' and @*[local-name()='scheme'] and not(@*[local-name()='scheme']='calibre') and not(@*[local-name()='scheme']='uuid')]"
-    ids = F.zip_with(_all(o, f"{scheme}/@*[local-name()='scheme']"), _all(o, f"{scheme}/text()"), lambda s, v: F.concat_ws("/", s, v))
+    scheme = "//*[name()='dc:identifier' and @*[local-name()='scheme']]"
+    ids = own_identifiers(F.zip_with(_all(o, f"{scheme}/@*[local-name()='scheme']"), _all(o, f"{scheme}/text()"), lambda s, v: F.concat_ws("/", s, v)))
     by_id = lambda n: F.coalesce(F.xpath_string(o, F.lit(f"//*[name()='dc:identifier' and @id='{n}']/text()")), F.lit(""))
     series = meta("calibre:series")
     creators = _all(o, "//*[name()='dc:creator' and @*[local-name()='role']='aut']/text()")
@@ -93,6 +93,11 @@ def load_library(spark: SparkSession, root: str, hash_algo: str = "crc32", load_
     return x.join(read_text_siblings(spark, root), "folder", "left") if load_text else x
 
 
+def own_identifiers(ids: Column) -> Column:
+    """The identifiers (``scheme/value``) that other houses gave; the library's own numbers are left out."""
+    return F.filter(ids, lambda x: ~F.substring_index(x, "/", 1).isin("calibre", "uuid"))
+
+
 def missing_fields(entries: DataFrame, mandatory: list[str]) -> DataFrame:
     """One row (field, missing): how many entries lack a mandatory field, or hold it empty as the loader does."""
     empty = {"string": lambda c: c == "", "array": lambda c: F.size(c) == 0}
