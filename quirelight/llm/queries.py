@@ -84,7 +84,32 @@ def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.entities(names.distinct_names(table(spark, sf_dir, "books")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_repaired, p4_found, p4_entities, p5_found, p5_pieces, p5_rebuilt, p5_files, p6_ids, p7_mix, p7_shares, p8_found)}
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document turned back into bytes."""
+    ids = p6_ids(spark, sf_dir)
+    return ids.select("doc_id", F.md5(tokens.token_bytes(tokens.ranks_path())(F.col("ids"))).alias("md5"))
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each target's documents are used no more often than allowed, and its tokens are those wanted or, where the source is too small, all it may give."""
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    used, shares = mixing.mix(docs, targets, tokens.ranks_path())
+    uses = used.groupBy("mix_name", "source", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("mix_name", "source").agg(F.max("n").alias("uses"))
+    have = docs.groupBy("source").agg(F.sum(tokens.token_count(tokens.ranks_path())("text")).alias("have")).where("have > 0")
+    x = shares.join(targets.select("mix_name", "source", "max_repeats"), ["mix_name", "source"]).join(have, "source").join(uses, ["mix_name", "source"], "left")
+    expected = F.least(F.col("wanted_tokens"), F.col("max_repeats") * F.col("have"))
+    near = F.abs(F.col("tokens") - expected) <= F.greatest(F.lit(4.0 * mixing.BLOCK_TOKENS), expected * 0.02)
+    return x.select("mix_name", "source", (F.coalesce("uses", F.lit(0)) <= F.col("max_repeats")).alias("capped"), near.alias("reached"))
+
+
+def p8_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every visible text keeps its look with other blanks, look-alike letters, invisible characters and line ends."""
+    swapped = F.replace(F.replace(F.translate("text", "aeo ", "\u0430\u0435\u043e\u00a0"), F.lit("n"), F.lit("n\u200b")), F.lit("\n"), F.lit("\r\n"))
+    x = table(spark, sf_dir, "documents").select("doc_id", lookalike.looks(F.col("text")).alias("a"), lookalike.looks(swapped).alias("b"))
+    return x.where("a is not null").select("doc_id", F.col("a").eqNullSafe(F.col("b")).alias("same"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_repaired, p4_found, p4_entities, p5_found, p5_pieces, p5_rebuilt, p5_files, p6_ids, p6_decoded, p7_mix, p7_shares, p7_checks, p8_found, p8_variants)}
 
 _SPACE = "[\\s\\x{85}\\p{Z}\\x{0b}\\x{1c}-\\x{1f}]"
 ORACLES = {
@@ -94,4 +119,7 @@ select entry_id, 'oversized' as case_kind from t where length(text) > chunk_size
 select entry_id, 'unspaced' from t where list_max([length(x) for x in regexp_split_to_array(text, '{_SPACE}')]) > chunk_size""",
     "p5_rebuilt": "select entry_id, md5(text) as md5, true as fits from text_entries join index_states using (state_id) where length(text) > 0",
     "p5_files": "select state_id, sum(length(text) + 1)::bigint as chars, true as fits, true as covers from text_entries join index_states using (state_id) where text is not null group by state_id",
+    "p6_decoded": "select doc_id, md5(coalesce(text, '')) as md5 from documents",
+    "p7_checks": "select mix_name, source, true as capped, true as reached from mix_targets where source in (select source from documents where length(text) > 0)",
+    "p8_variants": "select doc_id, true as same from documents where regexp_matches(text, '[^\\s\\p{Z}\\p{C}\\x{ad}\\x{115f}\\x{1160}\\x{3164}\\x{ffa0}\\x{2800}\\x{fe00}-\\x{fe0f}\\x{34f}]')",
 }
