@@ -104,7 +104,8 @@ def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether every visible text keeps its look with other blanks, look-alike letters, invisible characters and line ends."""
-    swapped = F.replace(F.replace(F.translate("text", "aeo ", "\u0430\u0435\u043e\u00a0"), F.lit("n"), F.lit("n\u200b")), F.lit("\n"), F.lit("\r\n"))
+    swapped = F.replace(F.translate("text", "aeo ", "\u0430\u0435\u043e\u00a0"), F.lit("n"), F.lit("n\u200b"))
+    swapped = F.replace(F.replace(swapped, F.lit("\r\n"), F.lit("\n")), F.lit("\n"), F.lit("\r\n"))
     x = table(spark, sf_dir, "documents").select("doc_id", lookalike.looks(F.col("text")).alias("a"), lookalike.looks(swapped).alias("b"))
     return x.where("a is not null").select("doc_id", F.col("a").eqNullSafe(F.col("b")).alias("same"))
 
