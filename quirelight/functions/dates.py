@@ -169,3 +169,55 @@ def fossil_date(c: Column) -> Column:
     c = F.regexp_replace(c, r"(\d),(\d{1,2})(?!\d)", "$1.$2")
     c = F.regexp_replace(c, r"^([\d.]+)\s*[–-]\s*([\d.]+)\s*(?:mya|Mya|Ma)\b.*$", "$1 Ma BP - $2 Ma BP")
     return strip(F.regexp_replace(c, r"\s*(?:mya|Mya)\b", " Ma BP"))
+
+
+# Phrases of one page's dates.
+PHRASES = (("30th century BC", "3000 BC - 2901 BC"), ("end of the 13th century", "1280 - 1299"), ("End of the 16th century", "1580 - 1599"))
+
+
+def phrase(c: Column) -> Column:
+    """Phrases as dates; otherwise ``Around `` and a last ``s`` off, and eras in capitals."""
+    c = F.regexp_replace(F.replace(c, F.lit("Around "), F.lit("")), "s$", "")
+    out = F.when(c == "post-1945", "1945 - 1963").otherwise(F.replace(F.replace(c, F.lit("bc"), F.lit("BC")), F.lit("ad"), F.lit("AD")))
+    for said, date in reversed(PHRASES):
+        out = F.when(F.contains(c, F.lit(said)), date).otherwise(out)
+    return out
+
+
+def tolerant_span(c: Column) -> Column:
+    """struct(date, remark) of dates with a tolerance, which is kept as remark: ``1250 ± 20``, and ``1200 to 1250`` as 1250 with ±50.
+
+    The second form counts the span on from its first number, as the page's readers expect it.
+    """
+    c = replace_all(c, (("c. ", ""), ("c.", ""), ("–", "-"), (",", ""), ("?", ""), ("BCE", "BC"), ("CE", "")))
+    c = strip(F.substring_index(c, "[", 1))
+    number = lambda x: F.regexp_extract(x, r"^\s*(\d+)\s*(?:BC)?\s*$", 1).try_cast("bigint")
+    half, ends = F.split(c, "±"), F.split(c, " to ")
+    bc = lambda x: F.when(F.contains(x, F.lit("BC")), " BC").otherwise("")
+    a, b = number(F.get(ends, F.lit(0))), number(F.get(ends, F.lit(1)))
+    width = number(F.get(half, F.lit(1)))
+    tolerant = pair(F.concat(strip(F.get(half, F.lit(0))), bc(F.get(half, F.lit(1)))), F.concat(F.lit("±"), width.cast("string")))
+    spanned = pair(F.concat((a + F.abs(a - b)).cast("string"), bc(F.get(ends, F.lit(0)))), F.concat(F.lit("±"), F.abs(a - b).cast("string")))
+    return F.when((F.size(half) == 2) & width.isNotNull(), tolerant).when((F.size(ends) == 2) & a.isNotNull() & b.isNotNull(), spanned).otherwise(pair(c, F.lit("")))
+
+
+def impact_age(c: Column) -> Column:
+    """Ages of impacts as dates: years in brackets, BC and AD years, and millions of years alone, as a span, or with a tolerance."""
+    c = F.regexp_replace(c, r"[?<>]", "")
+    inside = strip(F.replace(F.regexp_extract(c, r"\(([^)]*)\)", 1), F.lit("AD"), F.lit("")))
+    years = strip(F.replace(c, F.lit("AD"), F.lit("")))
+    spread = lambda x: F.concat((_tolerance(x, 1) - _tolerance(x, 2)).cast("bigint").cast("string"), F.lit(" - "), (_tolerance(x, 1) + _tolerance(x, 2)).cast("bigint").cast("string"))
+    with_years = lambda x: F.when(_tolerance(x, 2).isNotNull(), spread(x)).otherwise(x)
+    plain = strip(F.substring_index(F.replace(c, F.lit("–"), F.lit("-")), "[", 1))
+    ends = F.split(plain, "-")
+    age = F.concat(scale_age(plain.try_cast("double"), 1000.0), F.lit(" kya BP"))
+    aged = F.concat(scale_age(_tolerance(plain, 1) + _tolerance(plain, 2), 1000.0), F.lit(" kya BP - "), scale_age(_tolerance(plain, 1) - _tolerance(plain, 2), 1000.0), F.lit(" kya BP"))
+    return (
+        F.when(F.contains(c, F.lit("(")), with_years(inside)).when(F.contains(F.upper(c), F.lit("BC")), F.upper(strip(c))).when(F.contains(c, F.lit("AD")), with_years(years))
+        .when(F.size(ends) == 2, F.concat(strip(F.get(ends, F.lit(1))), F.lit(" Ma BP - "), strip(F.get(ends, F.lit(0))), F.lit(" Ma BP"))).when(_tolerance(plain, 2).isNotNull(), aged).when(age.isNotNull(), age).otherwise(plain)
+    )
+
+
+def _tolerance(c: Column, k: int) -> Column:
+    """The number before (1) or behind (2) the sign of tolerance."""
+    return F.regexp_extract(c, r"^\s*([\d.]+)\s*±\s*([\d.]+)\s*$", k).try_cast("double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, julian
 from ..functions.text import remove_footnotes, strip
 from ..operators import ordered
+from . import curated
 
 #: Rows of a table in the order over all rows.
 TABLE_ROWS = 1_000_000
@@ -23,7 +25,8 @@ class Page:
     tables: inclusive ranges of table indexes.  date, rest, end: columns of the date or year, of day and month, and of the end.  text: columns
     joined to the event.  kept: further columns, by name.  prepare: applied to each raw date.  scale: unit of bare numbers; factor: for
     tables from ``factor_from`` on.  suffix: an era that all dates have.  header: a date that marks a repeated header row.  fill: missing dates come from the
-    row before.  curated: exact raw dates with their (date, remark).  order: ``page``, ``time`` or ``reverse``.
+    row before.  curated: exact raw dates with their (date, remark).  clean: the cleaning in place of the common one, to struct(date, remark).  bracket: the
+    name of a column for what the text has in brackets, which leave it.  order: ``page``, ``time`` or ``reverse``.
     """
 
     tables: tuple[tuple[int, int], ...]
@@ -40,6 +43,8 @@ class Page:
     header: tuple[str, ...] = ("Year", "Date")
     fill: bool = False
     curated: dict[str, tuple[str, str]] = field(default_factory=dict)
+    clean: Callable[[Column], Column] | None = None
+    bracket: str = ""
     separator: str = ", "
     distinct: bool = False
     order: str = "page"
@@ -50,11 +55,15 @@ def _cell(i: int) -> Column:
     return F.when(c.isin("", "nan", "NaN", "None"), F.lit(None)).otherwise(c)
 
 
-def build(rows: DataFrame, page: Page) -> DataFrame:
+def build(rows: DataFrame, page: Page | tuple[Page, ...]) -> DataFrame:
     """(pos, date, remark, event, jd_start, jd_end, kept columns) of a page's rows (table_idx, row_idx, cells).
 
-    Rows without date or event, and repeated header rows, are left out.  Remarks lead the event.
+    Rows without date or event, and repeated header rows, are left out.  Remarks lead the event.  Several layouts of one page are united in the order of
+    the first.
     """
+    if isinstance(page, tuple):
+        x = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [build(rows, p) for p in page])
+        return x.orderBy("jd_start", F.coalesce("jd_end", "jd_start"), "pos") if page[0].order == "time" else x.orderBy("pos")
     inside = F.lit(False)
     for a, b in page.tables:
         inside = inside | F.col("table_idx").between(a, b)
@@ -86,15 +95,19 @@ def build(rows: DataFrame, page: Page) -> DataFrame:
         raw = F.concat_ws(" - ", raw, page.prepare(F.col("_e")) if page.prepare else F.col("_e"))
     x = x.withColumn("_raw", raw)
     if page.curated:
-        known = rows.sparkSession.createDataFrame([(k, *v) for k, v in page.curated.items()], "_raw string, _cd string, _cr string")
-        x = x.join(known, "_raw", "left")
+        known = rows.sparkSession.createDataFrame([(k.replace("\u2009", " "), *v) for k, v in page.curated.items()], "_raw string, _cd string, _cr string")
+        x = x.withColumn("_key", F.replace("_raw", F.lit("\u2009"), F.lit(" "))).join(known.withColumnRenamed("_raw", "_key"), "_key", "left")
     else:
         x = x.withColumns({"_cd": F.lit(None).cast("string"), "_cr": F.lit(None).cast("string")})
-    x = x.withColumn("_c", dates.clean_date(F.col("_raw"), page.scale))
+    x = x.withColumn("_c", page.clean(F.col("_raw")) if page.clean else dates.clean_date(F.col("_raw"), page.scale))
     x = x.withColumn("date", F.coalesce("_cd", "_c.date")).withColumn("remark", F.array_join(F.filter(F.array("_note", F.coalesce("_cr", "_c.remark")), lambda r: r != ""), ", "))
     x = x.withColumn("_jd", julian.range_to_jd(F.col("date")))
+    bracket = []
+    if page.bracket:
+        x = x.withColumns({"_b": F.col("_t"), "_t": strip(F.substring_index("_t", "(", 1))})
+        bracket = [F.regexp_extract("_b", r"\(([^)]*)", 1).alias(page.bracket)]
     event = F.when(F.col("remark") != "", F.concat(F.lit("Date: "), F.col("remark"), F.lit(", "), F.col("_t"))).otherwise(F.col("_t"))
-    out = x.select("pos", "date", "remark", event.alias("event"), F.col("_jd.jd_start").alias("jd_start"), F.col("_jd.jd_end").alias("jd_end"), *[_cell(i).alias(n) for n, i in page.kept.items()])
+    out = x.select("pos", "date", "remark", event.alias("event"), F.col("_jd.jd_start").alias("jd_start"), F.col("_jd.jd_end").alias("jd_end"), *bracket, *[_cell(i).alias(n) for n, i in page.kept.items()])
     if page.distinct:
         # equal dates are neighbours in the order of time, so only rows of one time can repeat the one before
         at = Window.partitionBy("jd_start", F.coalesce("jd_end", "jd_start")).orderBy("pos")
@@ -147,14 +160,19 @@ def _c_dot(c: Column) -> Column:
     return F.substring_index(F.regexp_replace(c, r"^c\.\s*", ""), " ", 1)
 
 
+def _year_range(c: Column) -> Column:
+    """``1279-1368 reign`` as ``1279 - 1368``, and ``960 about`` as ``960``."""
+    return F.regexp_replace(F.regexp_replace(c, r"^(\d+)[^-]*?-\s*(\d+)(?!\d|-).*$", "$1 - $2"), r"^(\d+) (?!BC\b|-).*$", "$1")
+
+
 #: The pages whose tables the engine knows.
-PAGES: dict[str, Page] = {
+PAGES: dict[str, Page | tuple[Page, ...]] = {
     "biblical_chronology": Page(((8, 19),), text=(1, 2), prepare=_c_dot, suffix="BC", header=("no",)),
-    "chinese_history": _history(11, 54),
+    "chinese_history": (Page(tables=((11, 11),), prepare=_year_range), _history(12, 54, prepare=_year_range)),
     "volcanic_eruptions": Page(((1, 6),), date=4, text=(1, 2, 5), kept={"vei": 0, "volume": 3}, scale="kya BP", factor=1000.0, factor_from=5, prepare=lambda c: F.replace(c, F.lit("+"), F.lit("")), order="reverse"),
     "holocene_eruptions": Page(((0, 2),), date=5, text=(1, 2, 6), kept={"vei": 0, "volume": 3}, prepare=lambda c: dates.tolerance_to_range(F.regexp_replace(c, r"c\.\s*|\?| CE$", ""), "BP"), order="reverse"),
-    "impact_structures": Page(((1, 1),), date=4, text=(0, 1, 2), kept={"diameter": 3, "confirmed": 5}, prepare=lambda c: dates.tolerance_to_range(c, "Ma BP"), order="time"),
-    "environmental_history": Page(((0, 31),), date=0, end=1, text=(2,), prepare=lambda c: F.replace(F.regexp_replace(c, "^between ", ""), F.lit(" and "), F.lit(" to "))),
+    "impact_structures": Page(((1, 1),), date=4, text=(0, 1, 2), kept={"diameter": 3, "confirmed": 5}, prepare=dates.impact_age, order="time"),
+    "environmental_history": Page(((0, 31),), date=0, end=1, text=(2,), prepare=dates.phrase, clean=dates.tolerant_span),
     "geologic_time": Page(((1, 4),), date=1, text=(0,), kept={"duration": 2, "etymology": 3}, prepare=lambda c: F.replace(F.replace(F.translate(c, ",~", ""), F.lit("to"), F.lit("Ma BP -")), F.lit(" million years ago"), F.lit(" Ma BP")), order="time"),
     "evolution_of_life": Page(((23, 25), (27, 27), (29, 29), (31, 31)), prepare=dates.spread_unit),
     "human_evolution_taxonomy": Page(((0, 0),), date=3, text=(2,), kept={"rank": 0, "name": 1}, scale="Ma BP"),
@@ -164,11 +182,13 @@ PAGES: dict[str, Page] = {
     "irish_history": _history(0, 22, order="time"),
     "british_history": _history(0, 22),
     "iranian_history": _history(0, 32),
-    "egyptian_pyramids": Page(((12, 12),), date=1, text=(0,), kept={"field": 2, "height": 3}),
+    "egyptian_pyramids": Page(((12, 12),), date=1, text=(0,), bracket="pharaoh", kept={"field": 2, "height": 3}),
     "egyptian_dynasties": Page(((12, 12),), date=2, end=3, text=(0,), kept={"seat": 1, "duration": 4, "first": 5, "last": 6}),
     "bond_events": Page(((0, 0),), date=2, text=(4,), kept={"id": 0}),
-    "anatolian_history_periods": Page(((0, 6),), date=1, text=(0,), prepare=lambda c: F.regexp_replace(F.replace(c, F.lit("–present"), F.lit("")), r"^\((.*)\)$|[();].*$", "$1"), order="time", distinct=True),
-    "anatolian_history": _history(8, 30, order="time", distinct=True),
+    "anatolian_history": (
+        Page(((0, 6),), date=1, text=(0,), prepare=lambda c: F.regexp_replace(F.replace(c, F.lit("–present"), F.lit("")), r"^\((.*)\)$|[();].*$", "$1"), order="time", distinct=True),
+        _history(8, 30, order="time", distinct=True),
+    ),
     "romanian_history": _history(3, 28),
     "spanish_history": _history(1, 16),
     "portuguese_history": _history(0, 19),
@@ -176,9 +196,9 @@ PAGES: dict[str, Page] = {
     "roman_history": _history(0, 21),
     "post_classical_history": Page(((3, 12),), rest=1, text=(2, 3), separator=" "),
     "buddhist_history": Page(((4, 29),)),
-    "renaissance_composers": Page(((3, 3),), date=1, text=(0,), kept={"nationality": 2, "works": 3}, order="time"),
-    "medieval_composers": Page(((3, 3),), date=1, text=(0,), kept={"nationality": 2, "works": 3}, order="time"),
-    "byzantine_composers": Page(((0, 0),), date=1, text=(0,), kept={"works": 2}, order="time"),
+    "renaissance_composers": Page(((3, 3),), date=1, text=(0,), kept={"nationality": 2, "works": 3}, curated=curated.table(curated.RENAISSANCE_COMPOSERS), order="time"),
+    "medieval_composers": Page(((3, 3),), date=1, text=(0,), kept={"nationality": 2, "works": 3}, curated=curated.table(curated.MEDIEVAL_COMPOSERS), order="time"),
+    "byzantine_composers": Page(((0, 0),), date=1, text=(0,), kept={"works": 2}, curated=curated.table(curated.BYZANTINE_COMPOSERS), order="time"),
     "hominin_fossils": Page(((0, 4),), date=1, text=(0,), kept={"species": 2, "place": 3}, prepare=dates.fossil_date, fill=True, order="time"),
 }
 

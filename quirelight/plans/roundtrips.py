@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from ..operators import diff, search, timeline
 from ..session import delete_at_end, shared_dir, table
 from ..sinks import render, state
 from ..sources import clippings, files, library, notes
-from . import pages
+from . import curated, pages
 from .queries import query
 
 _PLACES = "select *, lower(r_name) as region from nation join region on n_regionkey = r_regionkey"
@@ -478,3 +479,27 @@ def bars_and_numerals(spark, d):
     """Progress bars, and words that are numbers."""
     o = table(spark, d, "orders")
     return o.select("o_orderkey", text.progress_bar(F.col("o_orderkey"), F.lit(60000)).alias("bar"), text.is_number(F.substring("o_orderpriority", F.lit(3), F.length("o_orderpriority"))).alias("numeral"))
+
+
+@query("""
+with o as (select o_orderkey, year(o_orderdate) as y, o_orderkey % 90 + 1 as t, o_orderkey % 5 as k from orders)
+select o_orderkey, case k when 0 then y::varchar when 1 then y || ' BC' when 2 then (y + t)::varchar when 3 then '1280 - 1299' else y::varchar end as date, case when k < 3 then '±' || t else '' end as remark,
+  case k when 0 then (y - t) || ' - ' || (y + t) when 1 then y || ' BC' when 2 then (y + t) || ' Ma BP - ' || y || ' Ma BP' when 3 then ((y + t) * 1000) || ' kya BP - ' || ((y - t) * 1000) || ' kya BP' else (y * 1000) || ' kya BP' end as impact from o""")
+def tolerances(spark, d):
+    """Dates with tolerances, spans and phrases, and ages of impacts."""
+    o = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").cast("string").alias("y"), (F.col("o_orderkey") % 90 + 1).alias("t"), (F.col("o_orderkey") % 5).alias("k"))
+    y, t, k = F.col("y"), F.col("t").cast("string"), F.col("k")
+    later = (F.col("y").cast("bigint") + F.col("t")).cast("string")
+    written = F.when(k == 0, F.concat(F.lit("c. "), y, F.lit(" ± "), t)).when(k == 1, F.concat(y, F.lit(" ± "), t, F.lit(" BCE"))).when(k == 2, F.concat(y, F.lit(" to "), later)).when(k == 3, F.lit("the end of the 13th century")).otherwise(F.concat(F.lit("Around "), y, F.lit("s")))
+    impact = F.when(k == 0, F.concat(F.lit("0.01 ("), y, F.lit(" ± "), t, F.lit(" AD)"))).when(k == 1, F.concat(y, F.lit(" bc"))).when(k == 2, F.concat(y, F.lit("–"), later, F.lit("[1]"))).when(k == 3, F.concat(F.lit("<"), y, F.lit(" ± "), t)).otherwise(y)
+    return o.select("o_orderkey", dates.tolerant_span(dates.phrase(written)).alias("c"), dates.impact_age(impact).alias("impact")).select("o_orderkey", "c.date", "c.remark", "impact")
+
+
+@query(f"""
+with o as (select {_ROWS} as pos, o_orderkey % 26 as k, o_orderstatus as s from orders), c(i, raw, d, r) as (values {", ".join(f"({i}, '{raw}', '{date}', '{remark}')" for i, (raw, (date, remark)) in enumerate(curated.table(curated.RENAISSANCE_COMPOSERS).items()))})
+select pos, d as date, r as remark, s as event from o join c on k = i""")
+def composers(spark, d):
+    """A page's own table of exceptions, every one of its dates many times."""
+    raw = F.element_at(F.array(*[F.lit(x) for x in curated.table(curated.RENAISSANCE_COMPOSERS)]), (F.col("o_orderkey") % 26 + 1).cast("int"))
+    page = dataclasses.replace(pages.PAGES["renaissance_composers"], tables=((0, 2),))
+    return pages.build(page_rows(spark, d, F.col("o_orderstatus"), raw), page).select("pos", "date", "remark", F.element_at(F.split("event", ", "), -1).alias("event"))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quirelight.functions import dates
-from quirelight.plans import pages
+from quirelight.plans import curated, pages
 from quirelight.streaming import events
 
 ROWS = "table_idx int, row_idx int, cells array<string>"
@@ -72,3 +72,32 @@ def test_streams(spark, tmp_path):
     assert sorted((r.k, r.v) for r in events.versions(spark, root).collect()) == [(1, "b"), (2, "d"), (3, "e")]
     counts = events.run_once(events.windowed_counts(spark.readStream.schema(kind).parquet(src), "at", ["k"]), ["start", "k"])
     assert {(r.k, r.start.day): r.n for r in counts.collect()}[2, 5] == 1
+
+
+def test_curated_dates_of_composers(spark):
+    rows = [(3, 0, ["A", "born 1565, fl. 1585", "It", "m"]), (3, 1, ["B", "1468 – 10 April 1548", "It", "m"]), (3, 2, ["C", "c. 1577 – between 1614–33", "En", "m"]), (3, 3, ["D", "1500", "En", "m"])]
+    got = {r.event: (r.date, r.remark) for r in pages.build(spark.createDataFrame(rows, ROWS), pages.PAGES["renaissance_composers"]).collect()}
+    assert got == {
+        "Date: born 1565, fl. 1585, A": ("1565 - 1585", "born 1565, fl. 1585"), "B": ("1468 - 1548-04-10", ""), "Date: c. 1577 - between 1614-33, C": ("1577 - 1633", "c. 1577 - between 1614-33"), "D": ("1500", ""),
+    }
+    assert [len(curated.table(x)) for x in (curated.RENAISSANCE_COMPOSERS, curated.MEDIEVAL_COMPOSERS, curated.BYZANTINE_COMPOSERS)] == [26, 27, 3]
+
+
+def test_dates_with_tolerance_and_phrases(spark):
+    texts = ["1250 ± 20", "c. 300 ± 50 BC", "1200 to 1250", "Around 1300s", "end of the 13th century", "post-1945", "1500[3]"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(dates.tolerant_span(dates.phrase(F.col("t"))).alias("x"))
+    assert [tuple(r.x) for r in df.collect()] == [("1250", "±20"), ("300 BC", "±50"), ("1250", "±50"), ("1300", ""), ("1280 - 1299", ""), ("1945 - 1963", ""), ("1500", "")]
+
+
+def test_ages_of_impacts(spark):
+    texts = ["x (~1954 AD)", "1490 BC", "1947 AD", "100 ± 5", "2–3", "0.05", "0.006 (4000 ± 100)", "35[2]"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(dates.impact_age(F.col("t")).alias("x"))
+    assert [r.x for r in df.collect()] == ["~1954", "1490 BC", "1947", "105000 kya BP - 95000 kya BP", "3 Ma BP - 2 Ma BP", "50 kya BP", "3900 - 4100", "35000 kya BP"]
+
+
+def test_layouts_of_one_page(spark):
+    rows = [(11, 0, ["1279-1368", "an era"]), (12, 0, ["960", "4 February", "a dynasty"]), (12, 1, ["1044 about", None, "a book"])]
+    got = [(r.date, r.event) for r in pages.build(spark.createDataFrame(rows, ROWS), pages.PAGES["chinese_history"]).collect()]
+    assert got == [("1279 - 1368", "an era"), ("960-02-04", "a dynasty"), ("1044", "a book")]
+    pyramid = pages.build(spark.createDataFrame([(12, 0, ["Great (Khufu)", "2580 BC", "Giza", "146 m"])], ROWS), pages.PAGES["egyptian_pyramids"]).first()
+    assert (pyramid.event, pyramid.pharaoh, pyramid.field) == ("Great", "Khufu", "Giza")
