@@ -101,7 +101,7 @@ def library_folder(spark, d):
     return b.select("title", "series", "creators", "subjects", "languages", "publisher", lower_ids.alias("identifiers"), "uuid", "calibre_id", "publication_date", "date_added", "context", "short_title", "formats", doc["name"].alias("doc"), doc["size"].alias("size"), doc["hash"].alias("hash"), "doc_text")
 
 
-@query("select p_name as title, case when p_partkey % 2 = 0 then ['epub', 'pdf'] else ['pdf'] end as formats from (select p_name, max(p_partkey % 2 = 0)::int * 2 as p_partkey from part where not contains(p_name, '/') group by p_name)")
+@query("select p_name as title, case when bool_or(p_partkey % 2 = 0) then ['epub', 'pdf'] else ['pdf'] end as formats from part where not contains(p_name, '/') group by p_name")
 def sidecars(spark, d):
     """Folders that a reader keeps beside documents, by title."""
     p = table(spark, d, "part").where(~F.contains("p_name", F.lit("/")))

@@ -39,7 +39,7 @@ def short_title(title, sort, creators):
     return f"{s.strip()} - {clean(creators[0] if creators else 'Unknown')}"
 
 
-def test_short_title_all(spark, tmp_path):
+def test_short_title(spark, tmp_path):
     long = "The Collected Letters and Papers of the Harbour Masters of Velmora and Ostrand"
     titles = [
         (long + " XIV", long + " XIV", ["Jane Doe"]), ("3 " + long, long, ["Jane Doe"]), (long + " 2 of the Series", long + " 2 of the Series", []), ("Maps 12", "Maps 12", None), ("Volume IV of Maps", "Maps", ["A"]),
@@ -48,34 +48,34 @@ def test_short_title_all(spark, tmp_path):
         ("Cafe\u0301 3", "Cafe\u0301 3", ["Zoe\u0308"]), (None, None, None), ("Maps", None, ["C"]), (None, "Maps 4", ["C"]), ("", "", [""]), (" " + "b" * 80, " " + "b" * 80, ["D"]), ("c" * 29 + "." + "d" * 60 + " V", "c" * 29 + "." + "d" * 60 + " V", ["D"]),
     ]
     spark.createDataFrame([(i, *t) for i, t in enumerate(titles)], "book_id bigint, title string, title_sort string, creators array<string>").write.parquet(f"{tmp_path}/books.parquet")
-    got = {r.book_id: r.short_title for r in queries.QUERIES["short_title_all"](spark, str(tmp_path)).collect()}
+    got = {r.book_id: r.short_title for r in queries.QUERIES["short_title"](spark, str(tmp_path)).collect()}
     assert got == {i: short_title(*t) for i, t in enumerate(titles)}
     assert got[0].endswith(" XIV - Jane Doe") and got[17] == " - Unknown"
 
 
-def test_note_plan_all(spark, tmp_path):
+def test_note_plan(spark, tmp_path):
     u = [f"{i:08x}-00ab-0000-0000-00000000000f" for i in range(7)]
     rows = [
         (2, u[0], "a"), (1, u[0].upper(), "a"), (2, "urn:uuid:" + u[1], "b"), (1, "{" + u[1].upper() + "}", "c"), (2, u[2].replace("-", ""), "d"), (1, " " + u[3], "e"), (2, "uuid:" + u[4], "e"),
         (2, u[5], None), (1, u[5] + " ", None), (4, u[6], "z"), (2, u[6].upper(), "y"), (2, None, "f"), (1, "", "g"), (2, "not one", "h"),
     ]
     spark.createDataFrame(rows, "sequence_number bigint, uuid string, title string").write.parquet(f"{tmp_path}/lib_entries.parquet")
-    got = sorted(tuple(r) for r in queries.QUERIES["note_plan_all"](spark, str(tmp_path)).select("uuid", "name", "old_name", "action").collect())
+    got = sorted(tuple(r) for r in queries.QUERIES["note_plan"](spark, str(tmp_path)).select("uuid", "name", "old_name", "action").collect())
     assert got == [
         (u[0], "a", "a", "keep"), (u[1], "b", "c", "rename"), (u[2], "d", None, "create"), (u[3], "e", "e", "orphan"), (u[4], "e", None, "blocked"), (u[5], "", "", "keep"), (u[6], "y", None, "create"),
     ]
 
 
-def test_index_changes_all(spark, tmp_path):
+def test_index_changes(spark, tmp_path):
     day = lambda n: datetime(2024, 1, n)
     rows = [(3, "a", "x", day(1)), (9, "a", "y", day(2)), (2, "b", "x", day(2)), (5, "b", "z", day(1)), (8, "b", "z", day(3)), (15, "c", None, day(1)), (21, "d", None, day(1)), (27, "d", "w", day(1))]
     spark.createDataFrame(rows, "entry_id bigint, desc_key string, text string, indexed_at timestamp").write.parquet(f"{tmp_path}/text_entries.parquet")
-    got = {r.desc: r.action for r in queries.QUERIES["index_changes_all"](spark, str(tmp_path)).collect()}
+    got = {r.desc: r.action for r in queries.QUERIES["index_changes"](spark, str(tmp_path)).collect()}
     assert got == {"a": "replace", "b": "keep", "c": "keep", "d": "replace"}
 
 
-def test_upsert_incremental_all(spark, tmp_path):
+def test_upsert_incremental(spark, tmp_path):
     rows = [(1, 1, datetime(2024, 1, 1)), (2, 1, datetime(2024, 1, 20)), (3, 2, datetime(2024, 1, 2)), (4, 3, datetime(2024, 1, 16)), (5, 3, datetime(2024, 1, 16))]
     spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
-    got = sorted(tuple(r) for r in queries.QUERIES["upsert_incremental_all"](spark, str(tmp_path)).select("user_id", "event_id").collect())
+    got = sorted(tuple(r) for r in queries.QUERIES["upsert_incremental"](spark, str(tmp_path)).select("user_id", "event_id").collect())
     assert got == [(1, 2), (2, 3), (3, 5)]
