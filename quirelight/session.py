@@ -74,6 +74,17 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
+def folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names of the folders directly below one that begin with a prefix."""
+    p, fs = _path(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory() and x.getPath().getName().startswith(prefix)] if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 def delete_at_end(spark: SparkSession, path: str) -> None:
     """Have a folder deleted when the application ends."""
     try:

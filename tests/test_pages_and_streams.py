@@ -70,6 +70,7 @@ def test_streams(spark, tmp_path):
     go()
     go()
     assert sorted((r.k, r.v) for r in events.versions(spark, root).collect()) == [(1, "b"), (2, "d"), (3, "e")]
+    assert max(map(len, events._held(spark, root).values())) <= 2  # older versions are removed
     counts = events.run_once(events.windowed_counts(spark.readStream.schema(kind).parquet(src), "at", ["k"]), ["start", "k"])
     assert {(r.k, r.start.day): r.n for r in counts.collect()}[2, 5] == 1
 
