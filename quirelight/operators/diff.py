@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +71,18 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 def delete_plan(debris: DataFrame, path: str = "path", allowed: bool = False) -> DataFrame:
     """Rows of debris as actions: ``delete`` only where allowed, else ``report``."""
     return debris.select(F.col(path).alias("path"), F.lit("delete" if allowed else "report").alias("action"))
+
+
+def vacuum_plan(files: DataFrame, kept_beside: DataFrame, titles: DataFrame, notes: DataFrame, folders: DataFrame, allowed: bool = False) -> DataFrame:
+    """(kind, path, action) of what has lost its reason: ``delete`` only where allowed, else ``report``.
+
+    ``files`` (path) are files of the target that no document claims; ``kept_beside`` (title, path) the reader's folders, of which those count whose title is none
+    of ``titles`` (title); ``notes`` (path, action) a plan of notes, of which the orphans count; ``folders`` (path, n_entries) all folders, of which
+    the empty ones count, unless their name begins with a dot.
+    """
+    hidden = F.element_at(F.split("path", "/"), -1).startswith(".")
+    parts = [
+        ("file", files), ("reader", orphans(kept_beside, titles, ["title"])), ("note", notes.where("action = 'orphan'")), ("folder", folders.where((F.col("n_entries") == 0) & ~hidden)),
+    ]
+    plans = [delete_plan(x, allowed=allowed).select(F.lit(kind).alias("kind"), "path", "action") for kind, x in parts]
+    return functools.reduce(DataFrame.unionByName, plans)

@@ -503,3 +503,31 @@ def composers(spark, d):
     raw = F.element_at(F.array(*[F.lit(x) for x in curated.table(curated.RENAISSANCE_COMPOSERS)]), (F.col("o_orderkey") % 26 + 1).cast("int"))
     page = dataclasses.replace(pages.PAGES["renaissance_composers"], tables=((0, 2),))
     return pages.build(page_rows(spark, d, F.col("o_orderstatus"), raw), page).select("pos", "date", "remark", F.element_at(F.split("event", ", "), -1).alias("event"))
+
+
+@query("""
+select 'page ' || n_nationkey as page, 0 as table_idx, i as row_idx, [a, b] as cells from (select n_nationkey, unnest([0, 1])::int as i, unnest(['Date', '19' || (n_nationkey + 10)]) as a, unnest(['Event', n_name]) as b from nation)""")
+def fetched_pages(spark, d):
+    """Pages fetched by their addresses, tables read out; an address that gives an error has none."""
+    n = table(spark, d, "nation")
+    html = F.concat(F.lit("<html><table><tr><th>Date<th>Event<tr><td>19"), F.col("n_nationkey") + 10, F.lit("<td>"), "n_name", F.lit("</table></html>"))
+    root = _written(spark, n.select(F.concat(F.lit("p"), "n_nationkey", F.lit(".html")).alias("path"), html.alias("content")), "pages")
+    url = F.concat(F.lit("file://" + root.removeprefix("file:").removeprefix("//") + "/p"), F.col("n_nationkey").cast("string"), F.lit(".html"))
+    urls = n.select(F.concat(F.lit("page "), "n_nationkey").alias("page"), url.alias("url")).unionByName(n.select(F.lit("lost").alias("page"), F.concat(url, F.lit("x")).alias("url")))
+    return files.html_tables(files.fetch_pages(urls), "page")
+
+
+@query("""
+select 'file' as kind, 'f' || c_custkey as path, 'delete' as action from customer where c_custkey not in (select o_custkey from orders) union all
+select 'reader', c_name || '.sdr', 'delete' from customer where c_custkey % 3 <> 0 union all select 'note', c_name || '.md', 'delete' from customer where c_custkey % 7 = 0 union all
+select 'folder', 'x/' || r_name, 'delete' from region where r_regionkey not in (select n_regionkey from nation where n_nationkey > 20)""")
+def vacuum(spark, d):
+    """What a target and the notes hold without reason: files, readers' folders, notes and empty folders."""
+    c, r = table(spark, d, "customer"), table(spark, d, "region")
+    unclaimed = diff.orphans(c.select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k")), ["k"]).select(F.concat(F.lit("f"), "k").alias("path"))
+    beside = c.select(F.col("c_name").alias("title"), F.concat("c_name", F.lit(".sdr")).alias("path"))
+    plan = c.select(F.concat("c_name", F.lit(".md")).alias("path"), F.when(F.col("c_custkey") % 7 == 0, "orphan").otherwise("keep").alias("action"))
+    held = table(spark, d, "nation").where("n_nationkey > 20").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count(F.lit(1)).alias("n_entries"))
+    shown = r.join(held, "r_regionkey", "left").select(F.concat(F.lit("x/"), "r_name").alias("path"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"))
+    folders = shown.unionByName(r.select(F.concat(F.lit("x/."), "r_name").alias("path"), F.lit(0).alias("n_entries")))
+    return diff.vacuum_plan(unclaimed, beside, c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("title")), plan, folders, allowed=True)

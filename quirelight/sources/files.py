@@ -11,6 +11,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable
 from html.parser import HTMLParser
+from urllib.request import urlopen
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,6 +85,25 @@ class _Tables(HTMLParser):
         self._fill()
 
 
+def fetch_pages(urls: DataFrame, url: str = "url", timeout: float = 30.0) -> DataFrame:
+    """``urls`` with the page of each as ``html``; null where the server or the network gives an error."""
+
+    @F.pandas_udf("string")
+    def each(s: pd.Series) -> pd.Series:
+        def one(u: str | None) -> str | None:
+            if u is None:
+                return None
+            try:
+                with urlopen(u, timeout=timeout) as r:
+                    return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
+            except (OSError, ValueError):  # HTTP and URL errors are OSErrors
+                return None
+
+        return pd.Series([one(u) for u in s], dtype=object)
+
+    return urls.withColumn("html", each(F.col(url)))
+
+
 def html_rows(html: str | None) -> list[tuple[int, int, list[str | None]]]:
     """(table_idx, row_idx, cells) of a page; null and broken pages give what can be read."""
     if not html:
