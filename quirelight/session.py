@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -42,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="quirelight-")
         spark.conf.set("spark.quirelight.localCheckpointDir", known)
-    return known.rstrip("/")
+    return re.sub(r"^file:/(?!/)", "file:///", known.rstrip("/"))
 
 
 def _path(spark: SparkSession, path: str) -> tuple:
